@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..common import newest, table
-from . import chunking, conversations, lookalike, packing, tokens
+from . import chunking, conversations, lookalike, packing, pii, tokens
 
 
 def _nodes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -35,6 +35,26 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """(field_name, row_key, text) of the current messages and nodes."""
+    m = newest(table(spark, d, "session_messages").select("id", "row_id", "content"), ["id"], [F.col("row_id").asc_nulls_last()])
+    n = _nodes(spark, d, "summary", "detail")
+    both = F.explode(F.array(F.struct(F.lit("summary").alias("f"), F.col("summary").alias("t")), F.struct(F.lit("detail").alias("f"), F.col("detail").alias("t")))).alias("x")
+    return m.select(F.lit("content").alias("field_name"), F.col("id").alias("row_key"), F.col("content").alias("text")).unionByName(
+        n.select("id", both).select(F.col("x.f").alias("field_name"), F.col("id").alias("row_key"), F.col("x.t").alias("text"))
+    )
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    t = _texts(spark, d).select(F.struct("field_name", "row_key").alias("key"), "text")
+    return pii.find(t, "key", "text").select("key.field_name", "key.row_key", "pii_kind", "start_at")
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    t = _texts(spark, d).select(F.struct("field_name", "row_key").alias("key"), "text")
+    return pii.redacted(t, "key", "text").select("key.field_name", "key.row_key", "text")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.faults(table(spark, d, "sessions"), table(spark, d, "session_messages"))
 
@@ -61,7 +81,7 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_conversations": p4_conversations,
+    "p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_conversations": p4_conversations,
     "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_forms": p8_forms,
 }
 
