@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..common import newest, table
-from . import chunking, conversations, lookalike, packing, pii, tokens
+from . import chunking, conversations, lookalike, packing, pii, scans, tokens
 
 
 def _nodes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -63,6 +63,18 @@ def p4_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(table(spark, d, "sessions"), table(spark, d, "session_messages"))
 
 
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    return scans.blocks((table(spark, d, "ingest_blocks"), "recognized_text"), (table(spark, d, "text_blocks"), "text"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noise(_blocks(spark, d))
+
+
+def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scans.paragraphs(_blocks(spark, d))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -82,7 +94,7 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_conversations": p4_conversations,
-    "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_forms": p8_forms,
+    "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_forms": p8_forms,
 }
 
 SQL = {

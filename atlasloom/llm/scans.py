@@ -131,7 +131,9 @@ def corrections(lexicon: DataFrame, tokens: DataFrame) -> DataFrame:
     support = z("c1") + z("c2")
     own = z("o1") + z("o2")
     ratio = F.col("m") / F.col("n")
-    sure = F.col("right").isNotNull() & ((ratio >= RATIO) | ((ratio >= RATIO_NEAR) & (support > own)))
+    # short words have real words near them: both signs together
+    short = F.length("word") <= 3
+    sure = F.col("right").isNotNull() & F.when(short, (ratio >= 4 * RATIO) & (support > own)).otherwise((ratio >= RATIO) | ((ratio >= RATIO_NEAR) & (support > own)))
     scored = got.withColumn("score", F.log1p(support) + F.log(F.coalesce("m", F.lit(1))) - 4 * F.coalesce("cost", F.lit(0.0))).withColumn("odd", odd).filter(sure | F.col("odd"))
     best = Window.partitionBy("block_id", "at").orderBy(F.col("score").desc(), "right")
     one = scored.withColumn("k", F.row_number().over(best)).filter("k = 1")
@@ -153,6 +155,7 @@ def layout(df: DataFrame) -> DataFrame:
         .withColumn("line", _first(F.col("text")))
         .withColumn("last", F.regexp_extract("text", r"([^\r\n]*)\s*$", 1))
         .withColumn("looks_number", F.col("text").rlike(r"(?i)" + number))
+        .withColumn("outer", (F.col("pos") == 1) | (F.col("pos") == F.col("of")) | ((F.col("pos") == 2) & F.lag("looks_number").over(order)) | ((F.col("pos") == F.col("of") - 1) & F.lead("looks_number").over(order)))
     )
 
 
@@ -164,7 +167,7 @@ def _header_key(line: Column) -> Column:
 
 def running_headers(lay: DataFrame) -> DataFrame:
     """(block_id, line): blocks that are or begin with a line at the head or foot of two or more pages of their job."""
-    ends = lay.filter("pos <= 1 or pos >= of - 1").filter(~F.col("looks_number"))
+    ends = lay.filter("outer").filter(~F.col("looks_number"))
     lines = ends.select("block_id", "job_id", "page_index", "line", _header_key(F.col("line")).alias("key")).filter(F.length("key") >= 4)
     keyed = lines.groupBy("job_id", "key").agg(F.count_distinct("page_index").alias("pages")).filter("pages >= 2").select("job_id", "key")
     same = lines.join(keyed, ["job_id", "key"]).select("block_id", "line")
@@ -198,7 +201,9 @@ def page_numbers(lay: DataFrame) -> DataFrame:
     decorated = F.col("t") != F.col("bare")
     n = n.filter(F.col("value").isNotNull() | F.col("roman")).withColumn("gap", F.col("value") - F.col("page_index"))
     at_end = (F.col("pos") == 1) | (F.col("pos") == F.col("of"))
-    votes = n.filter(at_end & F.col("gap").isNotNull()).groupBy("job_id", "gap").agg(F.count("*").alias("votes")).filter("votes >= 2").select("job_id", "gap", F.lit(True).alias("goes"))
+    votes = n.filter(at_end & F.col("gap").isNotNull()).groupBy("job_id", "gap").agg(F.count("*").alias("votes"))
+    only = votes.groupBy("job_id").agg(F.sum("votes").alias("all"))
+    votes = votes.join(only, "job_id").filter("votes >= 2 or all = 1").select("job_id", "gap", F.lit(True).alias("goes"))
     n = n.join(votes, ["job_id", "gap"], "left")
     ok = (decorated & at_end) | (F.col("roman") & at_end) | F.coalesce("goes", F.lit(False)) & at_end | (decorated & F.col("t").rlike(r"(?i)page|seite|p\.|\["))
     return n.filter(ok).select("block_id", (F.col("bare").rlike("[lIOoS|]") & F.col("bare").rlike("[0-9]")).alias("misread"))
@@ -256,3 +261,65 @@ def noise(df: DataFrame) -> DataFrame:
         .unionByName(kind(a["numbers"], "page_number"))
         .distinct()
     )
+
+
+def _repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import regex
+
+    piece = regex.compile(PIECE)
+    broken = regex.compile(rf"\S*[{MARKS}][ \t]*(?:\r?\n[ \t]*\S*|$)")
+    for b in batches:
+        out = []
+        for text, fixes, splits, header, taken in zip(b["text"], b["fixes"], b["splits"], b["header"], b["taken"]):
+            # misread words by their number among the words that aren't broken
+            at = {int(f["at"]): f["right"] for f in (fixes if fixes is not None else ())}
+            if at:
+                parts, end, k = [], 0, 0
+                gaps = [m.span() for m in broken.finditer(text)]
+                for m in piece.finditer(text):
+                    if any(g0 < m.end() and m.start() < g1 for g0, g1 in gaps) or not regex.search(r"\p{L}", m[0]):
+                        continue
+                    if k in at:
+                        parts += [text[end : m.start()], at[k]]
+                        end = m.end()
+                    k += 1
+                text = "".join([*parts, text[end:]])
+            for s in splits if splits is not None else ():
+                if s["at_end"]:
+                    text = regex.sub(rf"{regex.escape(s['left'])}[{MARKS}]\s*$", lambda m, s=s: s["left"] + s["right"], text)
+                else:
+                    text = regex.sub(rf"{regex.escape(s['left'])}[{MARKS}][ \t]*\r?\n[ \t]*{regex.escape(s['right'])}", lambda m, s=s: s["left"] + s["right"], text)
+            if header is not None and text.lstrip().startswith(header.strip()):
+                text = text.lstrip()[len(header.strip()) :]
+            if taken is not None and text.lstrip().startswith(taken):
+                text = text.lstrip()[len(taken) :]
+            for a, c in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬆ", "st")):
+                text = text.replace(a, c)
+            out.append(regex.sub(r"\s*\r?\n\s*", " ", text).strip())
+        b["clean"] = out
+        yield b[["block_id", "job_id", "page_index", "block_index", "clean"]]
+
+
+def paragraphs(df: DataFrame) -> DataFrame:
+    """(job_id, page_index, block_index, block_id, text, goes_on): the clean paragraphs of each job, in page order by these keys.
+
+    Lines are joined, broken words made whole, misread words replaced, headers and page numbers gone.
+    A word broken at the end of a block is made whole there and leaves the next block. ``goes_on``
+    says that a paragraph begins in the middle of a sentence. Blocks without text left are dropped.
+    """
+    a = analyse(df)
+    broken = a["broken"]
+    fixes = a["misread"].filter("right is not null").groupBy("block_id").agg(F.collect_list(F.struct("at", "right")).alias("fixes"))
+    splits = broken.groupBy("block_id").agg(F.collect_list(F.struct("left", "right", "at_end")).alias("splits"))
+    headers = a["headers"].groupBy("block_id").agg(F.max("line").alias("header"))
+    # the part of a word that a block gave to the one before it
+    follow = Window.partitionBy("job_id", "page_index").orderBy("block_index", "block_id")
+    body = a["layout"].join(a["furniture"], "block_id", "left_anti").filter(~F.col("looks_number"))
+    first = body.groupBy("job_id", "page_index").agg(F.min_by("block_id", F.struct("block_index", "block_id")).alias("next_page"))
+    after = body.withColumn("next", F.lead("block_id").over(follow)).join(first.select("job_id", (F.col("page_index") - 1).alias("page_index"), "next_page"), ["job_id", "page_index"], "left")
+    taken = broken.filter("at_end and right <> ''").join(after.select("block_id", F.coalesce("next", "next_page").alias("to")), "block_id").groupBy(F.col("to").alias("block_id")).agg(F.max("right").alias("taken"))
+    kept = a["blocks"].join(a["numbers"], "block_id", "left_anti")
+    for part in (fixes, splits, headers, taken):
+        kept = kept.join(part, "block_id", "left")
+    clean = kept.select("block_id", "job_id", "page_index", "block_index", "text", "fixes", "splits", "header", "taken").mapInPandas(_repair, "block_id bigint, job_id string, page_index int, block_index int, clean string")
+    return clean.filter("clean <> ''").select("job_id", "page_index", "block_index", "block_id", F.col("clean").alias("text"), F.col("clean").rlike(r"^\p{Ll}").alias("goes_on"))
