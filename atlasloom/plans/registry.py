@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from ..common import table
-from ..operators import hierarchy
+from ..common import strip, table
+from ..functions import privacy
+from ..functions import text as tx
+from ..operators import hierarchy, history, knowledge, pages, similarity, state, usage
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -53,3 +56,394 @@ SQL = {
     SELECT id, descendant_id, CAST(steps AS BIGINT) AS steps FROM pairs
     """,
 }
+
+
+# ---- the knowledge base -------------------------------------------------------------------------
+
+
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    return knowledge.current_nodes(table(spark, d, "nodes"))
+
+
+def _boxes(spark: SparkSession, d: str) -> DataFrame:
+    return knowledge.containers(table(spark, d, "vault_records"), table(spark, d, "sub_vaults"))
+
+
+def _tiered(spark: SparkSession, d: str, live_only: bool = False) -> DataFrame:
+    return knowledge.with_tiers(_nodes(spark, d), _boxes(spark, d), live_only)
+
+
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    return history.current_messages(table(spark, d, "session_messages"))
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "node_chunks").withColumn("written", history.instant(F.col("computed_at")))
+    return state.last_write(c, ["node_id", "chunk_type", "chunk_index", "model"], "written", ("text", "embedding"))
+
+
+#: A fixed question to search by, in the space of the stored vectors.
+ASKED = [0.4, -0.1, 0.3, 0.2, -0.5, 0.1, 0.6, -0.2]
+
+
+def active_nodes(spark, d):
+    return _nodes(spark, d).filter("deleted_at is null and not is_archived").select("id", "vault_id", "sub_vault_id", "node_type", "created_at")
+
+
+def all_containers(spark, d):
+    return _boxes(spark, d).select("id", "kind", F.coalesce("privacy_tier", F.lit("open")).alias("tier"), F.coalesce("priority_profile", F.lit("standard")).alias("profile"), "sort_order")
+
+
+def effective_tiers(spark, d):
+    return _tiered(spark, d).select("id", "effective_tier")
+
+
+def prompt_policies(spark, d):
+    t = _tiered(spark, d, live_only=True)
+    e = F.col("effective_tier")
+    return t.select("id", privacy.policy(e, "cloud").alias("cloud"), privacy.policy(e, "local").alias("local"), privacy.policy(e, "local", True).alias("unlocked"), privacy.policy(e, "unrestricted").alias("free"), privacy.label(e, F.col("title")).alias("label"))
+
+
+def word_search(spark, d):
+    return knowledge.search_with_ancestors(_tiered(spark, d), "timeline")
+
+
+def vector_coverage(spark, d):
+    return knowledge.coverage(_tiered(spark, d), table(spark, d, "node_chunks"), table(spark, d, "embedding_models"))
+
+
+def vector_search(spark, d):
+    live = _tiered(spark, d).filter("deleted_at is null and not is_archived").select("id")
+    c = _chunks(spark, d).filter("chunk_type = 'primary' and chunk_index = 0 and model = 'host-embed'").select(F.col("node_id").alias("id"), "embedding")
+    return similarity.nearest_to(c.join(live, "id", "left_semi"), ASKED, 50).select("id", F.round("similarity", 6).alias("similarity"))
+
+
+def vector_join(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return similarity.nearest_join(rows.filter("id % 50 = 0"), rows, 5).select("query_id", "id", "place", F.round("similarity", 6).alias("similarity"))
+
+
+def word_set_join(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return similarity.closest_words(docs, docs.filter("id % 50 = 0")).select("id", "best_id", F.round("similarity", 9).alias("similarity"), "class")
+
+
+def summary_overlap(spark, d):
+    return _nodes(spark, d).select("id", F.round(tx.overlap(tx.tokens(F.col("summary")), tx.tokens(F.col("detail"))), 9).alias("overlap"))
+
+
+def chunk_integrity(spark, d):
+    n = _nodes(spark, d).select(F.col("id").alias("node_id"), "detail")
+    c = _chunks(spark, d).filter("chunk_type = 'detail'").select("node_id", "chunk_index", "model", "text")
+    return c.join(n, "node_id").select("node_id", "chunk_index", "model", F.coalesce(F.contains("detail", "text"), F.lit(False)).alias("held"))
+
+
+def stale_vectors(spark, d):
+    n = _nodes(spark, d).select(F.col("id").alias("node_id"), "updated_at")
+    c = _chunks(spark, d).select("node_id", "model", "written")
+    return c.join(n, "node_id", "left").groupBy("model").agg(F.count("*").alias("vectors"), F.count_if(F.col("updated_at") > F.col("written")).alias("stale"), F.count_if(F.col("updated_at").isNull()).alias("lost"))
+
+
+def chunk_chain(spark, d):
+    w = Window.partitionBy("node_id", "chunk_type", "model").orderBy("chunk_index")
+    c = _chunks(spark, d).select("node_id", "chunk_type", "model", "chunk_index")
+    return c.withColumn("next_index", F.lead("chunk_index").over(w)).filter("next_index is not null").withColumn("gap", F.col("next_index") - F.col("chunk_index") > 1)
+
+
+def container_totals(spark, d):
+    n = _nodes(spark, d).filter("deleted_at is null")
+    per = n.select(F.explode(F.array_distinct(F.array_compact(F.array("vault_id", "sub_vault_id")))).alias("id"), "is_archived", "updated_at").groupBy("id").agg(F.count("*").alias("nodes"), F.count_if("is_archived").alias("archived"), F.max("updated_at").alias("latest"))
+    kids = _boxes(spark, d).filter("deleted_at is null").groupBy(strip("parent_id").alias("id")).agg(F.count("*").alias("children"), (F.max("sort_order") + 1).alias("next_order"))
+    return per.join(kids, "id", "full").select("id", F.coalesce("nodes", F.lit(0)).alias("nodes"), F.coalesce("archived", F.lit(0)).alias("archived"), "latest", F.coalesce("children", F.lit(0)).alias("children"), F.coalesce("next_order", F.lit(0)).alias("next_order")).filter("id is not null and id <> ''")
+
+
+def priority_scores(spark, d):
+    return usage.scores(_nodes(spark, d)).select("id", "profile", F.round("score", 9).alias("score"), "bar")
+
+
+def priority_refresh(spark, d):
+    r = usage.refreshed(_nodes(spark, d))
+    return r.select("id", "active", F.size("history").alias("periods"), "uses30", "uses90", F.round("score", 9).alias("score"))
+
+
+def retrieval(spark, d):
+    live = _tiered(spark, d).filter("deleted_at is null and not is_archived and effective_tier <> 'redacted'")
+    r = usage.retrieved(_chunks(spark, d).filter("model = 'host-embed'"), usage.scores(live), ASKED, 2000)
+    return r.select("node_id", F.round("relevance", 6).alias("relevance"), F.round("weight", 6).alias("weight"), "tokens", "used")
+
+
+def version_changes(spark, d):
+    return state.history_changes(table(spark, d, "nodes"))
+
+
+def snapshot_difference(spark, d):
+    n = _nodes(spark, d).select("id", "title", "summary", "detail", "is_archived", "created_at", "version", "updated_at")
+    cut_off = F.to_timestamp(F.lit("2026-01-01"))
+    old = knowledge.current_nodes(table(spark, d, "nodes").filter(F.col("updated_at") < cut_off)).select("id", "title", "summary", "detail", "is_archived")
+    return state.difference(old, n.select("id", "title", "summary", "detail", "is_archived"), "id", ["title", "summary", "detail", "is_archived"])
+
+
+def last_vectors(spark, d):
+    return _chunks(spark, d).select("node_id", "chunk_type", "chunk_index", "model", F.unix_micros("written").alias("written_us"))
+
+
+# ---- conversations ------------------------------------------------------------------------------
+
+
+def history_window(spark, d):
+    return history.recent(_messages(spark, d), 400)
+
+
+def latest_question(spark, d):
+    return history.latest(_messages(spark, d))
+
+
+def corrections(spark, d):
+    return history.corrections(_messages(spark, d))
+
+
+def message_references(spark, d):
+    r = history.references(_messages(spark, d))
+    live = _nodes(spark, d).select(F.col("id").alias("node_id"), (F.col("deleted_at").isNotNull() | F.col("is_archived")).alias("off"))
+    return r.join(live, "node_id", "left").select("row_id", "node_id", F.when(F.col("off").isNull(), "missing").when(F.col("off"), "orphaned").otherwise("active").alias("status"))
+
+
+def backlinks(spark, d):
+    return history.references(_messages(spark, d)).groupBy("node_id").agg(F.count("*").alias("links"), F.count_distinct("session_id").alias("sessions"))
+
+
+def public_messages(spark, d):
+    return history.without_private(_messages(spark, d), _tiered(spark, d)).groupBy("session_id").agg(F.count("*").alias("messages"))
+
+
+def prompt_context(spark, d):
+    return history.context(_messages(spark, d), _tiered(spark, d, live_only=True), "cloud", 2000)
+
+
+def session_totals(spark, d):
+    s = table(spark, d, "sessions").filter("id is not null").groupBy("id").agg(F.max("message_count").alias("claimed"))
+    m = _messages(spark, d).groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("messages"), F.count_if(F.col("speaker") == "user").alias("asked"), F.min("sent").alias("first"), F.max("sent").alias("last"))
+    return s.join(m, "id", "left").select("id", "claimed", F.coalesce("messages", F.lit(0)).alias("messages"), F.coalesce("asked", F.lit(0)).alias("asked"), (F.unix_seconds("last") - F.unix_seconds("first")).alias("seconds"))
+
+
+def empty_sessions(spark, d):
+    s = table(spark, d, "sessions").filter("id is not null").groupBy("id").agg(F.max("started_at").alias("started_at"))
+    none = s.join(_messages(spark, d).select(F.col("session_id").alias("id")), "id", "left_anti")
+    newest_ = none.agg(F.max(F.struct("started_at", "id")).alias("n"))
+    return none.crossJoin(F.broadcast(newest_)).select("id", (F.col("id") == F.col("n.id")).alias("kept"))
+
+
+def session_titles(spark, d):
+    m = _messages(spark, d).filter("speaker = 'user' and trim(content) <> '' and sent is not null")
+    first = m.groupBy("session_id").agg(F.min_by("content", F.struct("sent", "row_id")).alias("content"))
+    return first.select("session_id", tx.title(F.col("content")).alias("title"))
+
+
+# ---- texts, pages, events -----------------------------------------------------------------------
+
+
+def document_profile(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select(
+        "doc_id", F.size(tx.tokens(t)).alias("words"), F.size(tx.sentences(t)).alias("sentences"), tx.estimate(t).alias("tokens"),
+        F.coalesce(F.length(t) == F.col("n_chars"), F.lit(False)).alias("right_length"),
+    )
+
+
+def page_bands(spark, d):
+    return pages.bands(_boxed(spark, d), 18.0)
+
+
+def _boxed(spark, d):
+    t = table(spark, d, "text_blocks").select("block_id", "job_id", "page_index", "block_index", F.col("bbox.x").alias("x"), F.col("bbox.y").alias("y"), F.col("bbox.width").alias("width"), F.col("bbox.height").alias("height"))
+    return t.distinct()
+
+
+def page_medians(spark, d):
+    return pages.medians(_boxed(spark, d))
+
+
+def page_margins(spark, d):
+    return pages.margins(_boxed(spark, d), 792.0)
+
+
+def uncovered_blocks(spark, d):
+    return pages.uncovered(_boxed(spark, d))
+
+
+def page_markdown(spark, d):
+    return pages.joined(table(spark, d, "ingest_blocks").select("block_id", "job_id", "page_index", "block_index", "block_type", "formatted_text").distinct())
+
+
+def job_totals(spark, d):
+    j = pages.jobs(table(spark, d, "ingest_blocks").distinct())
+    return j.withColumn("confidence", F.round("confidence", 9))
+
+
+def daily_touches(spark, d):
+    t = usage.touches(table(spark, d, "events"))
+    return t.select("user_id", "day", "touches", F.round("value", 4).alias("value"))
+
+
+def hourly_events(spark, d):
+    t = usage.tumbling(table(spark, d, "events"), "1 hour")
+    return t.select("start", "event_type", "events", F.round("value", 4).alias("value"))
+
+
+def user_visits(spark, d):
+    return usage.visits(table(spark, d, "events"), "30 minutes")
+
+
+def throttled_events(spark, d):
+    return usage.throttled(table(spark, d, "events"), "10 minutes")
+
+
+QUERIES |= {
+    f.__name__: f
+    for f in (
+        active_nodes, all_containers, effective_tiers, prompt_policies, word_search, vector_coverage, vector_search, vector_join, word_set_join, summary_overlap,
+        chunk_integrity, stale_vectors, chunk_chain, container_totals, priority_scores, priority_refresh, retrieval, version_changes, snapshot_difference, last_vectors,
+        history_window, latest_question, corrections, message_references, backlinks, public_messages, prompt_context, session_totals, empty_sessions, session_titles,
+        document_profile, page_bands, page_medians, page_margins, uncovered_blocks, page_markdown, job_totals, daily_touches, hourly_events, user_visits, throttled_events,
+    )
+}
+
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in tx.STOP)
+
+
+def _words(x: str) -> str:
+    return r"list_sort(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(X, '')), '[^\p{L}\p{N}'']+'), lambda w: w <> '' AND NOT list_contains([STOP], w))))".replace("X", x).replace("STOP", _STOP)
+
+
+_CUR = "cur AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC) AS k FROM nodes WHERE id IS NOT NULL) WHERE k = 1)"
+_BOX = """box0 AS (SELECT id, 'vault' AS kind, parent_vault_id AS parent_id, name, privacy_tier, priority_profile, sort_order, updated_at, deleted_at FROM vault_records
+    UNION ALL SELECT id, 'sub_vault', vault_id, name, privacy_tier, priority_profile, sort_order, updated_at, deleted_at FROM sub_vaults),
+    box AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) AS k FROM box0 WHERE id IS NOT NULL) WHERE k = 1)"""
+_RANK = "coalesce(list_position(['local_only', 'locked', 'redacted'], {0}), 0)"
+
+
+def _tier(live: bool) -> str:
+    cond = " AND {0}.deleted_at IS NULL" if live else ""
+    g = ", ".join(_RANK.format(c) for c in ("c.privacy_tier", "v.privacy_tier", "s.privacy_tier"))
+    return f"""{_CUR}, {_BOX}, tier AS (SELECT c.*, ['open', 'local_only', 'locked', 'redacted'][greatest({g}) + 1] AS effective_tier
+        FROM cur c LEFT JOIN box v ON v.id = c.vault_id{cond.format('v')} LEFT JOIN box s ON s.id = c.sub_vault_id{cond.format('s')})"""
+
+
+_SENT = r"CASE WHEN regexp_matches({0}, '^\d{{4}}-\d{{2}}-\d{{2}}[T ]\d{{2}}:\d{{2}}') THEN try_cast(CASE WHEN regexp_matches({0}, '(Z|[+-]\d{{2}}:\d{{2}})$') THEN {0} ELSE {0} || 'Z' END AS TIMESTAMPTZ) END"
+_MSG = f"msg AS (SELECT * EXCLUDE (k), {_SENT.format('created_at')} AS sent, lower(trim(role)) AS speaker FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY row_id) AS k FROM session_messages WHERE id IS NOT NULL) WHERE k = 1)"
+_REF = "ref AS (SELECT row_id, session_id, sent, unnest(range(len(l))) AS position, unnest(l) AS node_id FROM (SELECT row_id, session_id, sent, CAST(json(node_refs) AS VARCHAR[]) AS l FROM msg WHERE json_valid(node_refs)))"
+_CHUNK = f"chunk AS (SELECT * EXCLUDE (k) FROM (SELECT *, {_SENT.format('computed_at')} AS written, row_number() OVER (PARTITION BY node_id, chunk_type, chunk_index, model ORDER BY {_SENT.format('computed_at')} DESC NULLS LAST, text, embedding) AS k FROM node_chunks) WHERE k = 1)"
+_ASK = "CAST([" + ", ".join(map(str, ASKED)) + "] AS FLOAT[])"
+_DBL = "list_transform({0}, lambda z: CAST(z AS DOUBLE))"
+_COS = "coalesce(list_cosine_similarity(" + _DBL.format("{0}") + ", " + _DBL.format("{1}") + "), 0)"
+_PRI = "p AS (SELECT *, CASE WHEN json_valid(priority) AND priority LIKE '{{%' THEN priority ELSE '{{}}' END AS j FROM {0})"
+_PROFILE = "CASE WHEN coalesce(CAST(j ->> 'pinned' AS BOOLEAN), false) THEN 'pinned' ELSE coalesce(j ->> 'profile', 'standard') END"
+
+
+def _score(uses: str, links: str = "coalesce(CAST(j ->> 'link_count' AS BIGINT), 0)") -> str:
+    return f"CASE WHEN {_PROFILE} = 'pinned' THEN 1.0 ELSE least(least(greatest({uses} / 10.0, 0.1), 1.0) + least({links} * 0.05, 0.2), CASE {_PROFILE} WHEN 'slow' THEN 1.0 WHEN 'fast' THEN 0.4 ELSE 0.8 END) END"
+
+
+_TB = "tb AS (SELECT DISTINCT block_id, job_id, page_index, block_index, bbox.x AS x, bbox.y AS y, bbox.width AS width, bbox.height AS height FROM text_blocks)"
+_USES30 = "coalesce(CAST(j ->> 'access_count_30active' AS BIGINT), 0)"
+_USES90 = "coalesce(CAST(j ->> 'access_count_90active' AS BIGINT), 0)"
+_BAR = "CASE WHEN score < 0.4 THEN 'low' WHEN score < 0.8 THEN 'medium' ELSE 'high' END"
+
+SQL |= {
+    "active_nodes": f"WITH {_CUR} SELECT id, vault_id, sub_vault_id, node_type, created_at FROM cur WHERE deleted_at IS NULL AND NOT is_archived",
+    "all_containers": f"WITH {_BOX} SELECT id, kind, coalesce(privacy_tier, 'open') AS tier, coalesce(priority_profile, 'standard') AS profile, sort_order FROM box",
+    "effective_tiers": f"WITH {_tier(False)} SELECT id, effective_tier FROM tier",
+    "prompt_policies": f"""WITH {_tier(True)} SELECT id, CASE effective_tier WHEN 'open' THEN 'full' WHEN 'locked' THEN 'stub' ELSE 'omit' END AS cloud,
+        CASE effective_tier WHEN 'redacted' THEN 'omit' WHEN 'locked' THEN 'stub' ELSE 'full' END AS local, CASE effective_tier WHEN 'redacted' THEN 'omit' ELSE 'full' END AS unlocked,
+        CASE effective_tier WHEN 'redacted' THEN 'omit' ELSE 'full' END AS free, CASE effective_tier WHEN 'redacted' THEN '[redacted]' WHEN 'locked' THEN '[locked] ' || title ELSE title END AS label FROM tier""",
+    "word_search": f"""WITH {_tier(False)}, hit AS (SELECT * FROM tier WHERE coalesce(contains(lower(title), 'timeline'), false) OR (effective_tier NOT IN ('locked', 'redacted') AND coalesce(contains(lower(summary), 'timeline'), false)))
+        SELECT id, 'node' AS kind, CAST(1 AS BIGINT) AS hits FROM hit UNION ALL
+        SELECT id, 'container', count(*) FROM (SELECT id AS n, vault_id AS id FROM hit WHERE vault_id IS NOT NULL UNION SELECT id, sub_vault_id FROM hit WHERE sub_vault_id IS NOT NULL) GROUP BY id""",
+    "vector_coverage": f"""WITH {_tier(False)}, live AS (SELECT id FROM tier WHERE deleted_at IS NULL AND effective_tier <> 'redacted'),
+        have AS (SELECT model, count(DISTINCT node_id) AS c FROM node_chunks WHERE chunk_type = 'primary' AND chunk_index = 0 AND embedding IS NOT NULL AND node_id IN (SELECT id FROM live) GROUP BY model)
+        SELECT m.model, coalesce(c, 0) AS covered, (SELECT count(*) FROM live) AS total, coalesce(c, 0) / (SELECT count(*) FROM live) AS share FROM embedding_models m LEFT JOIN have USING (model)""",
+    "vector_search": f"""WITH {_CUR}, {_CHUNK} SELECT node_id AS id, round({_COS.format('embedding', _ASK)}, 6) AS similarity FROM chunk
+        WHERE chunk_type = 'primary' AND chunk_index = 0 AND model = 'host-embed' AND node_id IN (SELECT id FROM cur WHERE deleted_at IS NULL AND NOT is_archived)
+        ORDER BY {_COS.format('embedding', _ASK)} DESC, node_id LIMIT 50""",
+    "vector_join": f"""SELECT query_id, id, place, round(s, 6) AS similarity FROM (SELECT q.vec_id AS query_id, r.vec_id AS id, {_COS.format('q.embedding', 'r.embedding')} AS s,
+        row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS.format('q.embedding', 'r.embedding')}, 12) DESC, r.vec_id) AS place
+        FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0) WHERE place <= 5""",
+    "word_set_join": f"""WITH t AS (SELECT doc_id AS id, {_words('text')} AS w FROM documents), q AS (SELECT * FROM t WHERE id % 50 = 0),
+        m AS (SELECT q.id, t.id AS o, len(list_intersect(q.w, t.w)) AS i, len(q.w) + len(t.w) AS n FROM q JOIN t ON t.id <> q.id AND len(q.w) > 0 AND len(t.w) > 0),
+        b AS (SELECT id, o, i / (n - i) AS s, row_number() OVER (PARTITION BY id ORDER BY i / (n - i) DESC, o) AS k FROM m WHERE i / (n - i) >= 0.5)
+        SELECT q.id, b.o AS best_id, round(b.s, 9) AS similarity, CASE WHEN b.s > 0.85 THEN 'update' WHEN b.s >= 0.5 THEN 'flag' ELSE 'new' END AS class FROM q LEFT JOIN b ON b.id = q.id AND b.k = 1""",
+    "summary_overlap": f"""WITH {_CUR}, w AS (SELECT id, {_words('summary')} AS a, {_words('detail')} AS b FROM cur), c AS (SELECT *, len(list_intersect(a, b)) AS i FROM w)
+        SELECT id, round(CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE i / (len(a) + len(b) - i) END, 9) AS overlap FROM c""",
+    "chunk_integrity": f"WITH {_CUR}, {_CHUNK} SELECT c.node_id, c.chunk_index, c.model, coalesce(contains(n.detail, c.text), false) AS held FROM chunk c JOIN cur n ON n.id = c.node_id WHERE c.chunk_type = 'detail'",
+    "stale_vectors": f"""WITH {_CUR}, {_CHUNK} SELECT c.model, count(*) AS vectors, count(*) FILTER (n.updated_at > CAST(c.written AT TIME ZONE 'UTC' AS TIMESTAMP)) AS stale, count(*) FILTER (n.updated_at IS NULL) AS lost
+        FROM chunk c LEFT JOIN cur n ON n.id = c.node_id GROUP BY c.model""",
+    "chunk_chain": f"""WITH {_CHUNK}, l AS (SELECT node_id, chunk_type, model, chunk_index, lead(chunk_index) OVER (PARTITION BY node_id, chunk_type, model ORDER BY chunk_index) AS next_index FROM chunk)
+        SELECT *, next_index - chunk_index > 1 AS gap FROM l WHERE next_index IS NOT NULL""",
+    "container_totals": rf"""WITH {_CUR}, {_BOX}, u AS (SELECT id AS n, vault_id AS id, is_archived, updated_at FROM cur WHERE deleted_at IS NULL AND vault_id IS NOT NULL UNION SELECT id, sub_vault_id, is_archived, updated_at FROM cur WHERE deleted_at IS NULL AND sub_vault_id IS NOT NULL),
+        per AS (SELECT id, count(*) AS nodes, count(*) FILTER (is_archived) AS archived, max(updated_at) AS latest FROM u GROUP BY id),
+        kids AS (SELECT regexp_replace(parent_id, '^[\s\x{{A0}}\x{{3000}}]+|[\s\x{{A0}}\x{{3000}}]+$', '', 'g') AS id, count(*) AS children, max(sort_order) + 1 AS next_order FROM box WHERE deleted_at IS NULL GROUP BY 1)
+        SELECT coalesce(per.id, kids.id) AS id, coalesce(nodes, 0) AS nodes, coalesce(archived, 0) AS archived, latest, coalesce(children, 0) AS children, coalesce(next_order, 0) AS next_order
+        FROM per FULL JOIN kids ON per.id = kids.id WHERE coalesce(per.id, kids.id) <> ''""",
+    "priority_scores": f"WITH {_CUR}, {_PRI.format('cur')}, s AS (SELECT id, {_PROFILE} AS profile, {_score(_USES30)} AS score FROM p) SELECT id, profile, round(score, 9) AS score, {_BAR} AS bar FROM s",
+    "priority_refresh": f"""WITH {_CUR}, {_PRI.format('cur')}, h AS (SELECT *, coalesce(CAST(j ->> 'session_touches' AS BIGINT), 0) AS t, coalesce(CAST(j -> 'access_history' AS BIGINT[]), []) AS hist FROM p),
+        a AS (SELECT *, max(t) OVER (PARTITION BY vault_id) > 0 AS active FROM h), n AS (SELECT *, CASE WHEN active THEN list_concat([t], hist)[1:90] ELSE hist END AS nh FROM a),
+        s AS (SELECT *, CASE WHEN active THEN coalesce(list_sum(nh[1:30]), 0) ELSE {_USES30} END AS u30, CASE WHEN active THEN coalesce(list_sum(nh), 0) ELSE {_USES90} END AS u90 FROM n)
+        SELECT id, active, len(nh) AS periods, CAST(u30 AS BIGINT) AS uses30, CAST(u90 AS BIGINT) AS uses90, round({_score('u30')}, 9) AS score FROM s""",
+    "retrieval": f"""WITH {_tier(False)}, {_CHUNK}, live AS (SELECT * FROM tier WHERE deleted_at IS NULL AND NOT is_archived AND effective_tier <> 'redacted'), {_PRI.format('live')},
+        s AS (SELECT id, {_score(_USES30)} AS score FROM p), b AS (SELECT node_id, {_COS.format('embedding', _ASK)} AS r, CAST(ceil(octet_length(encode(text)) / 4.0) AS BIGINT) AS t FROM chunk WHERE model = 'host-embed'),
+        best AS (SELECT node_id, r, t FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY r DESC, t DESC) AS k FROM b) WHERE k = 1),
+        w AS (SELECT best.*, r * score AS weight FROM best JOIN s ON s.id = best.node_id WHERE t > 0), o AS (SELECT *, sum(t) OVER (ORDER BY round(weight, 9) DESC, node_id ROWS UNBOUNDED PRECEDING) AS used FROM w)
+        SELECT node_id, round(r, 6) AS relevance, round(weight, 6) AS weight, t AS tokens, used FROM o WHERE used <= 2000""",
+    "version_changes": """WITH one AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY id, version) AS k FROM nodes) WHERE k = 1),
+        l AS (SELECT *, lag(version) OVER w AS v, lag(title) OVER w AS a, lag(summary) OVER w AS b, lag(detail) OVER w AS c, lag(privacy_tier) OVER w AS e, lag(is_archived) OVER w AS f FROM one WINDOW w AS (PARTITION BY id ORDER BY version))
+        SELECT id, version, array_to_string(list_filter([CASE WHEN a IS DISTINCT FROM title THEN 'title' END, CASE WHEN b IS DISTINCT FROM summary THEN 'summary' END, CASE WHEN c IS DISTINCT FROM detail THEN 'detail' END, CASE WHEN e IS DISTINCT FROM privacy_tier THEN 'privacy_tier' END, CASE WHEN f IS DISTINCT FROM is_archived THEN 'is_archived' END], lambda x: x IS NOT NULL), ',') AS changed
+        FROM l WHERE v IS NOT NULL""",
+    "snapshot_difference": f"""WITH {_CUR}, old AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC) AS k FROM nodes WHERE id IS NOT NULL AND updated_at < TIMESTAMP '2026-01-01') WHERE k = 1),
+        j AS (SELECT n.id, o.id IS NULL AS added, array_to_string(list_filter([CASE WHEN o.title IS DISTINCT FROM n.title THEN 'title' END, CASE WHEN o.summary IS DISTINCT FROM n.summary THEN 'summary' END, CASE WHEN o.detail IS DISTINCT FROM n.detail THEN 'detail' END, CASE WHEN o.is_archived IS DISTINCT FROM n.is_archived THEN 'is_archived' END], lambda x: x IS NOT NULL), ',') AS c FROM cur n LEFT JOIN old o ON o.id = n.id)
+        SELECT id, CASE WHEN added THEN 'added' ELSE 'changed' END AS change, CASE WHEN NOT added THEN c END AS columns FROM j WHERE added OR c <> ''""",
+    "last_vectors": f"WITH {_CHUNK} SELECT node_id, chunk_type, chunk_index, model, epoch_us(written) AS written_us FROM chunk",
+    "history_window": f"""WITH {_MSG}, c AS (SELECT session_id, row_id, CAST(ceil(octet_length(encode(coalesce(content, ''))) / 4.0) AS BIGINT) AS tokens, sent FROM msg),
+        u AS (SELECT session_id, row_id, tokens, sum(tokens) OVER (PARTITION BY session_id ORDER BY sent DESC NULLS LAST, row_id DESC ROWS UNBOUNDED PRECEDING) AS used FROM c) SELECT * FROM u WHERE used <= 400""",
+    "latest_question": f"WITH {_MSG} SELECT session_id, row_id, content FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sent DESC, row_id DESC) AS k FROM msg WHERE speaker = 'user' AND sent IS NOT NULL) WHERE k = 1",
+    "corrections": f"""WITH {_MSG}, s AS (SELECT row_id, session_id, content, lag(content) OVER (PARTITION BY session_id ORDER BY sent, row_id) AS before FROM msg WHERE speaker = 'user' AND content IS NOT NULL AND sent IS NOT NULL),
+        w AS (SELECT *, list_transform(regexp_split_to_array(lower(content), '\\s+'), lambda x: regexp_replace(x, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')) AS a,
+            list_filter(list_transform(regexp_split_to_array(lower(coalesce(before, '')), '\\s+'), lambda x: regexp_replace(x, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')), lambda x: x <> '' AND NOT list_contains([{_STOP}], x)) AS b FROM s),
+        f AS (SELECT row_id, session_id, CASE {' '.join(f"WHEN regexp_matches(lower(content), '(^|[^\\p{{L}}\\p{{N}}]){p.replace(chr(39), chr(39) * 2)}([^\\p{{L}}\\p{{N}}]|$)') THEN '{p.replace(chr(39), chr(39) * 2)}'" for p in tx.CORRECTIONS)} END AS phrase,
+            list_filter(list_transform(range(1, len(a)), lambda i: CASE WHEN a[i] IN ('not', 'no') THEN a[i + 1] END), lambda x: list_contains(b, x))[1] AS n FROM w)
+        SELECT row_id, session_id, phrase, CASE WHEN phrase IS NULL THEN n END AS negated FROM f WHERE phrase IS NOT NULL OR n IS NOT NULL""",
+    "message_references": f"WITH {_CUR}, {_MSG}, {_REF} SELECT r.row_id, r.node_id, CASE WHEN n.id IS NULL THEN 'missing' WHEN n.deleted_at IS NOT NULL OR n.is_archived THEN 'orphaned' ELSE 'active' END AS status FROM ref r LEFT JOIN cur n ON n.id = r.node_id",
+    "backlinks": f"WITH {_MSG}, {_REF} SELECT node_id, count(*) AS links, count(DISTINCT session_id) AS sessions FROM ref GROUP BY node_id",
+    "public_messages": f"""WITH {_tier(False)}, {_MSG}, {_REF} SELECT session_id, count(*) AS messages FROM msg WHERE row_id NOT IN (SELECT row_id FROM ref WHERE node_id IN (SELECT id FROM tier WHERE effective_tier IN ('locked', 'redacted'))) GROUP BY session_id""",
+    "prompt_context": f"""WITH {_tier(True)}, {_MSG}, {_REF}, f AS (SELECT session_id, node_id, row_number() OVER (PARTITION BY session_id, node_id ORDER BY sent NULLS FIRST, row_id, position) AS k, sent, row_id, position FROM ref),
+        g AS (SELECT f.*, CASE WHEN effective_tier = 'open' THEN 'full' ELSE 'stub' END AS policy, CASE WHEN effective_tier = 'open'
+            THEN array_to_string(list_filter(['<document title="' || replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') || '">', replace(replace(replace(summary, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), replace(replace(replace(detail, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '</document>'], lambda x: x IS NOT NULL), chr(10))
+            ELSE concat_ws('', '[private note: ', title, ']') END AS block FROM f JOIN tier t ON t.id = f.node_id WHERE k = 1 AND deleted_at IS NULL AND NOT is_archived AND effective_tier IN ('open', 'locked')),
+        c AS (SELECT session_id, node_id, policy, CAST(ceil(octet_length(encode(block)) / 4.0) AS BIGINT) AS tokens, row_number() OVER w AS position, sum(CAST(ceil(octet_length(encode(block)) / 4.0) AS BIGINT)) OVER w AS used FROM g
+            WINDOW w AS (PARTITION BY session_id ORDER BY sent NULLS FIRST, row_id, position, node_id ROWS UNBOUNDED PRECEDING))
+        SELECT session_id, position, node_id, policy, tokens, used FROM c WHERE used <= 2000""",
+    "session_totals": f"""WITH {_MSG}, s AS (SELECT id, max(message_count) AS claimed FROM sessions WHERE id IS NOT NULL GROUP BY id), m AS (SELECT session_id, count(*) AS n, count(*) FILTER (speaker = 'user') AS a, min(sent) AS f, max(sent) AS l FROM msg GROUP BY session_id)
+        SELECT id, claimed, coalesce(n, 0) AS messages, coalesce(a, 0) AS asked, CAST(floor(epoch(l)) - floor(epoch(f)) AS BIGINT) AS seconds FROM s LEFT JOIN m ON m.session_id = s.id""",
+    "empty_sessions": f"""WITH {_MSG}, s AS (SELECT id, max(started_at) AS started_at FROM sessions WHERE id IS NOT NULL GROUP BY id), e AS (SELECT * FROM s WHERE id NOT IN (SELECT session_id FROM msg WHERE session_id IS NOT NULL))
+        SELECT id, row_number() OVER (ORDER BY started_at DESC NULLS LAST, id DESC) = 1 AS kept FROM e""",
+    "session_titles": f"""WITH {_MSG}, f AS (SELECT session_id, trim(content) AS t, row_number() OVER (PARTITION BY session_id ORDER BY sent, row_id) AS k FROM msg WHERE speaker = 'user' AND trim(content) <> '' AND sent IS NOT NULL)
+        SELECT session_id, CASE WHEN length(t) > 40 THEN substring(t, 1, 40) || '...' ELSE t END AS title FROM f WHERE k = 1""",
+    "page_bands": f"""WITH {_TB}, g AS (SELECT *, CASE WHEN y - max(y + height) OVER (PARTITION BY job_id, page_index ORDER BY y, x, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 18 THEN 1 ELSE 0 END AS n FROM tb)
+        SELECT block_id, CAST(sum(n) OVER (PARTITION BY job_id, page_index ORDER BY y, x, block_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS band FROM g""",
+    "page_medians": f"WITH {_TB} SELECT job_id, page_index, count(*) AS blocks, quantile_disc(height, 0.5) AS height, quantile_disc(width, 0.5) AS width FROM tb GROUP BY job_id, page_index",
+    "page_margins": f"WITH {_TB} SELECT block_id, CASE WHEN y + height / 2 <= 792 * 0.08 THEN 'header' WHEN y + height / 2 >= 792 * 0.92 THEN 'footer' ELSE 'body' END AS place FROM tb",
+    "uncovered_blocks": f"""WITH {_TB} SELECT block_id FROM tb b WHERE NOT EXISTS (SELECT 1 FROM tb o WHERE o.job_id = b.job_id AND o.page_index = b.page_index AND o.block_id < b.block_id
+        AND greatest(least(b.x + b.width, o.x + o.width) - greatest(b.x, o.x), 0) * greatest(least(b.y + b.height, o.y + o.height) - greatest(b.y, o.y), 0) > 0.35 * least(b.width * b.height, o.width * o.height))""",
+    "page_markdown": """WITH b AS (SELECT DISTINCT block_id, job_id, page_index, block_index, block_type, formatted_text FROM ingest_blocks),
+        s AS (SELECT *, row_number() OVER w AS k, lag(block_type) OVER w AS l FROM b WINDOW w AS (PARTITION BY job_id, page_index ORDER BY block_index, block_id))
+        SELECT job_id, page_index, string_agg(CASE WHEN k = 1 THEN '' WHEN block_type = 'ListItem' AND l = 'ListItem' THEN chr(10) ELSE chr(10) || chr(10) END || coalesce(formatted_text, ''), '' ORDER BY k) AS markdown FROM s GROUP BY job_id, page_index""",
+    "job_totals": """WITH b AS (SELECT DISTINCT * FROM ingest_blocks), c AS (SELECT *, greatest(length(coalesce(recognized_text, '')), 1) AS n, CASE WHEN confidence IS NOT NULL THEN least(greatest(confidence, 0.0), 1.0) END AS f FROM b)
+        SELECT job_id, count(*) AS blocks, count(DISTINCT page_index) AS pages, count(*) FILTER (block_type = 'Table') AS tables, coalesce(bool_or(fragment), false) AS fragments, round(sum(f * n) / sum(n) FILTER (f IS NOT NULL), 9) AS confidence FROM c GROUP BY job_id""",
+    "daily_touches": "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS touches, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
+    "hourly_events": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
+    "user_visits": """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+        s AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS events FROM s GROUP BY user_id, k""",
+    "throttled_events": "SELECT event_type, start, event_id FROM (SELECT event_type, time_bucket(INTERVAL 10 MINUTE, ts) AS start, event_id, row_number() OVER (PARTITION BY event_type, time_bucket(INTERVAL 10 MINUTE, ts) ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1",
+}
+SQL["document_profile"] = rf"""SELECT doc_id, len({_words('text')}) AS words,
+    len(list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.?!])(\s)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')) AS sentences,
+    CAST(ceil(octet_length(encode(coalesce(text, ''))) / 4.0) AS BIGINT) AS tokens, coalesce(length(text) = n_chars, false) AS right_length FROM documents"""
