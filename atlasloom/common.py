@@ -46,13 +46,17 @@ def shared_folder(spark: SparkSession) -> str:
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
+def written(df: DataFrame) -> str:
+    """The path of a table of ``df``, new in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table into the shared folder and go on from there.
 
     Lineage ends, a lost executor costs nothing, and unlike checkpoint() the reader prunes columns,
     knows the size and carries no constraints along, which double with every round of a loop.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df))

@@ -13,12 +13,10 @@ may hold a third of all rows.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import cut, newest, strip
+from ..common import cut, newest, strip, written
 
 
 def current_links(*tables: tuple[DataFrame, str]) -> DataFrame:
@@ -96,7 +94,7 @@ def hierarchy(links: DataFrame, with_path: bool = True) -> DataFrame:
     unless ``with_path``. subtree: how many rows hang below, the row included; null on a circle. An
     empty input gives an empty result.
     """
-    links = links.select("id", "parent")
+    spark, links = links.sparkSession, links.select("id", "parent")
     kids = links.groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("kids")).filter("id is not null")
     there = links.select(F.col("id").alias("there"))
     left = cut(
@@ -112,11 +110,11 @@ def hierarchy(links: DataFrame, with_path: bool = True) -> DataFrame:
     # what is left are circles, each one row that is its own parent
     null = F.lit(None).cast("string")
     path = (lambda col: [col.alias("path")]) if with_path else (lambda col: [])
-    have = cut(left.select("id", null.alias("root"), F.col("id").alias("ring"), F.lit(True).alias("on"), F.lit(0).cast("long").alias("depth"), F.lit(False).alias("lost"), F.lit(None).cast("long").alias("subtree"), *path(F.array("id"))))
-    done, parts = [have], max(1, int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rings = left.select("id", null.alias("root"), F.col("id").alias("ring"), F.lit(True).alias("on"), F.lit(0).cast("long").alias("depth"), F.lit(False).alias("lost"), F.lit(None).cast("long").alias("subtree"), *path(F.array("id")))
+    done, layout = [written(rings)], rings.schema
     for out in reversed(gone):
+        have = spark.read.schema(layout).parquet(*done)  # one scan, however many rounds
         # every row hangs on a row that went later; a spliced row also asks the child it had
-        have = _union(done, parts)
         up = have.select(F.col("id").alias("up"), F.struct(*[c for c in have.columns if c != "id"]).alias("p"))
         child = have.select(F.col("id").alias("child"), F.col("on").alias("c_on"), F.col("subtree").alias("c_subtree"))
         got = out.join(up, "up", "left").join(child, "child", "left")
@@ -132,18 +130,13 @@ def hierarchy(links: DataFrame, with_path: bool = True) -> DataFrame:
             F.when(on, None).otherwise(F.col("size") + F.coalesce("c_subtree", F.lit(0))).alias("subtree"),
             *path(F.when(first | on, F.array("id")).otherwise(F.concat("p.path", "via", F.array("id"))) if with_path else None),
         )
-        done.append(cut(new))
-    have = _union(done, parts)
+        done.append(written(new))
+    have = spark.read.schema(layout).parquet(*done)
     least = have.filter("on").groupBy("ring").agg(F.min("id").alias("least"))
     state = F.when(F.col("on"), "cycle").when(F.col("ring").isNotNull(), "below_cycle").when(F.col("lost"), "orphan").otherwise("tree")
     return have.join(least, "ring", "left").join(links, "id").select("id", "parent", F.coalesce("least", "root").alias("root_id"), "depth", state.alias("state"), "subtree", *path(F.col("path")))
 
 
-def _union(parts: list[DataFrame], tasks: int) -> DataFrame:
-    """Many small written parts as one table of few tasks."""
-    return reduce(DataFrame.union, parts).coalesce(tasks)
-
-
 def descendants(tree: DataFrame) -> DataFrame:
     """(id, descendant_id, steps): one row for each pair of a row and one below it, from the paths of ``hierarchy``.
 
