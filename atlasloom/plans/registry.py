@@ -12,7 +12,7 @@ from ..operators import hierarchy, history, knowledge, pages, similarity, state,
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return p2_found(spark, d)
+    return word_set_join(spark, d)
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
