@@ -78,31 +78,35 @@ def cuts(data: bytes, least: int, most: int) -> list[int]:
     return [*out, n]
 
 
-def pieces(text: str, limit: int, overlap: int) -> list[str]:
-    """``text`` as pieces of at most ``limit`` tokens that share about ``overlap`` tokens; together they hold all of it."""
-    data = text.encode("utf-8", "surrogatepass")
+def ranges(data: bytes, limit: int, overlap: int) -> list[tuple[int, int]]:
+    """Start and end of the pieces of ``data`` in bytes, each starting at or before the end of the one before."""
     top = limit * TOKEN
     if len(data) <= top:
-        return [text]
+        return [(0, len(data))]
     shared = max(0, min(overlap * TOKEN, top // 2))
     most = max(4, top - shared)
-    ends = cuts(data, max(1, most // 2), most)
     starts, out, at = _starts(data), [], 0
-    for end in ends:
+    for end in cuts(data, max(1, most // 2), most):
         start = at
         if at and shared:
             start = max(0, at - min(shared, top - (end - at)))
             while start < at and not starts[start]:
                 start += 1
-            # rather at the start of a word or sentence, if one is near
+            # rather at the start of a word, if one is near
             space = data.find(b" ", start, min(at, start + shared // 3))
             if start and space >= 0 and data[start - 1 : start] not in (b" ", b"\n"):
                 start = space + 1
-        out.append(data[start:end].decode("utf-8", "surrogatepass"))
+        out.append((start, end))
         at = end
     return out
 
 
+def pieces(text: str, limit: int, overlap: int) -> list[str]:
+    """``text`` as pieces of at most ``limit`` tokens that share about ``overlap`` tokens; together they hold all of it."""
+    data = text.encode("utf-8", "surrogatepass")
+    return [data[a:b].decode("utf-8", "surrogatepass") for a, b in ranges(data, limit, overlap)]
+
+
 def split_oversized(items: DataFrame, models: DataFrame, keys: list[str], text: str, own_model: str | None = None, with_text: bool = True) -> DataFrame:
     """(keys.., model, tokens, piece int, pieces int[, piece_text]): the pieces of each text that is too large for a model.
 

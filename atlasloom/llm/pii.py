@@ -110,7 +110,7 @@ _SPOKEN = re.compile(rf"(?i)(?<![A-Za-z])(?:{_WORDS})(?:[ ,-]+(?:{_WORDS})){{6,1
 
 _LOCAL = r"(?<![A-Za-z0-9_%+/\-])(?<![A-Za-z0-9]\.)[A-Za-z0-9_][A-Za-z0-9_%+\-]*(?:(?:\.| \. |\[\.\]|\(\.\)| \[?\(?dot\)?\]? )[A-Za-z0-9_%+\-]+)*?"
 _DOT = r"(?: ?[\[({]\.[\])}] ?|\.| ?[\[({]dot[\])}] ?| dot )"
-_HOST = rf"[A-Za-z0-9][A-Za-z0-9\-]*(?:{_DOT}[A-Za-z0-9\-]+)*?{_DOT}[A-Za-z]{{2,24}}(?![A-Za-z0-9\-@])"
+_HOST = rf"[A-Za-z0-9][A-Za-z0-9\-]*(?:{_DOT}[A-Za-z0-9\-]+)*{_DOT}[A-Za-z]{{2,24}}(?![A-Za-z0-9\-@])"
 _EMAIL = re.compile(rf"(?i){_LOCAL}(?: ?[@＠] ?| ?[\[({{] ?at ?[\])}}] ?){_HOST}(?! ?dot )(?!\.[A-Za-z])")
 _SAID = re.compile(r"(?i)(?<![A-Za-z0-9_%+.\-])[A-Za-z0-9_](?:[A-Za-z0-9_%+.\-]*[A-Za-z0-9_])? at (?:[A-Za-z0-9\-]+ dot )+[A-Za-z]{2,24}(?![A-Za-z0-9\-])")
 

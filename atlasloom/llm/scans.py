@@ -267,32 +267,33 @@ def _repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import regex
 
     piece = regex.compile(PIECE)
+    letter = regex.compile(r"\p{L}")
     broken = regex.compile(rf"\S*[{MARKS}][ \t]*(?:\r?\n[ \t]*\S*|$)")
     for b in batches:
         out = []
         for text, fixes, splits, header, taken in zip(b["text"], b["fixes"], b["splits"], b["header"], b["taken"]):
+            # what goes at the start: a header line, the end of a word that the block before has
+            start = 0
+            for head in (header, taken):
+                if head is not None and text[start:].lstrip().startswith(head.strip()):
+                    start = text.index(head.strip(), start) + len(head.strip())
             # misread words by their number among the words that aren't broken
             at = {int(f["at"]): f["right"] for f in (fixes if fixes is not None else ())}
-            if at:
-                parts, end, k = [], 0, 0
-                gaps = [m.span() for m in broken.finditer(text)]
-                for m in piece.finditer(text):
-                    if any(g0 < m.end() and m.start() < g1 for g0, g1 in gaps) or not regex.search(r"\p{L}", m[0]):
-                        continue
-                    if k in at:
-                        parts += [text[end : m.start()], at[k]]
-                        end = m.end()
-                    k += 1
-                text = "".join([*parts, text[end:]])
+            parts, end, k = [], start, 0
+            gaps = [m.span() for m in broken.finditer(text)] if at else []
+            for m in piece.finditer(text) if at else ():
+                if any(g0 < m.end() and m.start() < g1 for g0, g1 in gaps) or not letter.search(m[0]):
+                    continue
+                if k in at and m.start() >= start:
+                    parts += [text[end : m.start()], at[k]]
+                    end = m.end()
+                k += 1
+            text = "".join([*parts, text[end:]])
             for s in splits if splits is not None else ():
                 if s["at_end"]:
                     text = regex.sub(rf"{regex.escape(s['left'])}[{MARKS}]\s*$", lambda m, s=s: s["left"] + s["right"], text)
                 else:
                     text = regex.sub(rf"{regex.escape(s['left'])}[{MARKS}][ \t]*\r?\n[ \t]*{regex.escape(s['right'])}", lambda m, s=s: s["left"] + s["right"], text)
-            if header is not None and text.lstrip().startswith(header.strip()):
-                text = text.lstrip()[len(header.strip()) :]
-            if taken is not None and text.lstrip().startswith(taken):
-                text = text.lstrip()[len(taken) :]
             for a, c in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬆ", "st")):
                 text = text.replace(a, c)
             out.append(regex.sub(r"\s*\r?\n\s*", " ", text).strip())

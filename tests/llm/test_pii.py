@@ -1,0 +1,68 @@
+from atlasloom.llm import pii
+
+
+def kinds(text):
+    return [(s.kind, text[s.start : s.end]) for s in pii.spans(text)]
+
+
+FOUND = [
+    ("Write to <anna.smith+x@mail.example.org>.", [("email", "anna.smith+x@mail.example.org")]),
+    ("mailto:ann@example.net", [("email", "ann@example.net")]),
+    ("ann_7 at mail dot example dot net now", [("email", "ann_7 at mail dot example dot net")]),
+    ("ann [at] example.org, ann(at)example.net", [("email", "ann [at] example.org"), ("email", "ann(at)example.net")]),
+    ("ann＠example.org; ann@mail[.]example[.]org", [("email", "ann＠example.org"), ("email", "ann@mail[.]example[.]org")]),
+    ("(call +1 212 555 0133)", [("phone", "+1 212 555 0133")]),
+    ("ring (02) 5550 4702.", [("phone", "(02) 5550 4702")]),
+    ("0044 (0)20 7946 0661", [("phone", "0044 (0)20 7946 0661")]),
+    ("five five five one two three four!", [("phone", "five five five one two three four")]),
+    ("Tax file 05648409Y", [("id_number", "05648409Y")]),
+    ("national id=936-05-1499; QQ 49 97 25 A", [("id_number", "936-05-1499"), ("id_number", "QQ 49 97 25 A")]),
+    ("Please forget 937667586, thanks", [("id_number", "937667586")]),
+    ("at 203b Linden Ridge Lane, Apt 10", [("address", "203b Linden Ridge Lane")]),
+    ("235 bis, avenue de Wilnov, 99008 X", [("address", "235 bis, avenue de Wilnov")]),
+    ("Calle Stapelwick 166, 3º B", [("address", "Calle Stapelwick 166")]),
+    ("Rua Yarmirverow, 176, X", [("address", "Rua Yarmirverow, 176")]),
+    ("in der Fenberrystraße 40a, 14930 X", [("address", "Fenberrystraße 40a")]),
+    ("I met Rosa M. van Marnixsen today", [("name", "Rosa M. van Marnixsen")]),
+    ("Signed, MARTA BASOVA", [("name", "MARTA BASOVA")]),
+    ("Basovova, Greta and N. Telmini", [("name", "Basovova, Greta"), ("name", "N. Telmini")]),
+]
+NOT = ["Serial no. 40-292-7781 replaces it", "Batch 2025 0114 5271", "Invoice 2026-00295", "The checksum 901144471 and", "answered after 1767225262 ms", "Chapter 12.144.189", "on 2025-03-04 at 10:15", "Use @token to mention", "sensor@local and example/@note", "cluster@v2.9.1", "The Main Street rollout has 28 lanes", "The Basestova method", "Dear Reader", "v3.14.2", "KB-2031", "From Velton station it is 18 km"]
+
+
+def test_found():
+    for text, want in FOUND:
+        assert kinds(text) == want, text
+
+
+def test_not():
+    for text in NOT:
+        assert kinds(text) == [], text
+
+
+def test_check_digits():
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+    assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765431")
+    assert pii.dni("12345678", "Z") and not pii.dni("12345678", "A")
+    assert pii.cpf("52998224725") and not pii.cpf("52998224726")
+    assert kinds("account GB82 WEST 1234 5698 7654 32 now") == [("id_number", "GB82 WEST 1234 5698 7654 32")]
+
+
+def test_redact():
+    assert pii.redact("Ask Rosa Telmini (ann@example.org, 617-555-0113).") == "Ask [NAME] ([EMAIL], [PHONE])."
+
+
+def test_table(spark):
+    rows = [("a", "ann@example.org", 1), ("a", "ann@example.org", 1), ("b", None, 2), (None, "x " * 200_000 + "ann@example.org", 3), ("c", "", 4)]
+    df = spark.createDataFrame(rows, "id string, text string, key int")
+    got = sorted(((r.id, r.pii_kind, r.start_at) for r in pii.find(df, "id", "text").collect()), key=str)
+    assert got == sorted([("a", "email", 1), ("a", "email", 1), (None, "email", 400_001)], key=str)
+    red = {r.id: r.text for r in pii.redacted(df, "id", "text").collect()}
+    assert red["a"] == "[EMAIL]" and red["b"] is None and red["c"] == ""
+    assert pii.find(df.limit(0), "id", "text").count() == 0
+
+
+def test_characters_not_units():
+    text = "🧠 İ ann@example.org"
+    s = pii.spans(text)[0]
+    assert text[s.start : s.end] == "ann@example.org" and s.start == 4
