@@ -28,6 +28,8 @@ MARKS = "-‐¬­"
 CHEAP, FAR = 0.3, 0.75
 #: How many times more often the right word must stand in the corpus, without and with support by its neighbours.
 RATIO, RATIO_NEAR = 6.0, 1.5
+#: Places from here on are of words that don't stand in the text as one.
+ASIDE = 1_000_000_000
 PIECE = r"(?:[\p{L}\p{M}\p{N}|]|!(?=\p{L}))+"
 
 
@@ -245,8 +247,13 @@ def analyse(df: DataFrame) -> dict[str, DataFrame]:
     headers = cut(running_headers(lay))
     numbers = cut(page_numbers(lay))
     furniture = headers.select("block_id", "line").join(lay.filter(F.col("text") == F.col("line")).select("block_id"), "block_id", "left_semi").select("block_id").unionByName(numbers.select("block_id")).distinct()
-    broken = broken_words(df, lay, lexicon, tokens, furniture)
-    return {"blocks": df, "lexicon": lexicon, "layout": lay, "headers": headers, "numbers": numbers, "broken": broken, "misread": corrections(lexicon, tokens), "furniture": furniture}
+    broken = cut(broken_words(df, lay, lexicon, tokens, furniture))
+    # broken words that aren't known even when whole may be misread as well
+    odd = broken.filter("right <> ''").select("block_id", F.col("whole").alias("word")).distinct().join(lexicon.select("word"), "word", "left_anti")
+    odd = cut(odd.select("block_id", (F.lit(ASIDE) + F.pmod(F.xxhash64("word"), F.lit(1_000_000))).cast("int").alias("at"), "word"))
+    wider = lexicon.unionByName(odd.groupBy("word").agg(F.count("*").alias("n")))
+    misread = corrections(wider, tokens.unionByName(odd))
+    return {"blocks": df, "lexicon": lexicon, "layout": lay, "headers": headers, "numbers": numbers, "broken": broken, "misread": misread, "furniture": furniture}
 
 
 def noise(df: DataFrame) -> DataFrame:
@@ -257,6 +264,7 @@ def noise(df: DataFrame) -> DataFrame:
         kind(a["broken"], "hyphenation")
         .unionByName(kind(a["misread"], "misread"))
         .unionByName(kind(a["numbers"].filter("misread"), "misread"))
+        .unionByName(kind(a["headers"].filter(F.col("line").rlike(r"(?<![\p{L}\p{N}|])(?:[0-9]*[lIO|][0-9]+|[0-9]+[lIO|][0-9]*)(?![\p{L}\p{N}|])")), "misread"))
         .unionByName(kind(a["headers"], "running_header"))
         .unionByName(kind(a["numbers"], "page_number"))
         .distinct()
