@@ -90,8 +90,8 @@ def negated(text: Column, previous: Column) -> Column:
     clean = lambda t: F.transform(F.split(F.lower(F.coalesce(t, F.lit(""))), r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
     now = clean(text)
     before = F.array_except(clean(previous), F.array(*[F.lit(w) for w in ["", *STOP]]))
-    hits = F.filter(F.transform(now, lambda w, i: F.when(w.isin("not", "no"), F.get(now, i + 1))), lambda n: F.array_contains(before, n))
-    return F.get(hits, F.lit(0))
+    after = F.zip_with(now, F.slice(now, F.lit(2), F.size(now)), lambda w, n: F.when(w.isin("not", "no"), n))
+    return F.when(F.lower(text).rlike(r"(?<![\p{L}\p{N}])not?(?![\p{L}\p{N}])"), F.get(F.array_intersect(after, before), F.lit(0)))
 
 
 def unfenced(text: Column) -> Column:

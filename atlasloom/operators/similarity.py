@@ -1,4 +1,4 @@
-"""Similarity over all rows: vectors in blocks, word sets by their rarest words."""
+"""Similarity of a set of queries against all rows, in blocks: vectors and word sets."""
 
 from __future__ import annotations
 
@@ -68,32 +68,61 @@ def closest_words(rows: DataFrame, queries: DataFrame, least: float = 0.5) -> Da
     """(id, best_id, similarity, class): for each id of ``queries`` the row of the most similar word set.
 
     ``rows`` is (id, text), ``queries`` (id). Rows with the same set are one class, so copies never
-    meet in pairs. Sets with a Jaccard similarity of ``least`` or more share one of their rarest
-    words, by which they are joined; words that most texts hold never are. The least id wins ties;
-    a row is never its own match; without a match best_id and similarity are null and the class 'new'.
+    meet in pairs. Each block of asked sets meets each block of all sets in a task of its own, as
+    matrices over the words that the asked sets have (as 64-bit hashes), and passes on one row per
+    set. Only similarities of ``least`` or more count. The least id wins ties; a row is never its own
+    match; without a match best_id and similarity are null and the class is 'new'.
     """
-    sets = rows.select("id", tx.tokens(F.col("text")).alias("tokens")).filter("size(tokens) > 0").withColumn("set", F.sha2(F.concat_ws(" ", "tokens"), 256))
-    sets = cut(sets)
-    reps = sets.groupBy("set").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("tokens").alias("tokens"))
-    reps = cut(reps.withColumn("n", F.size("tokens")))
-    often = reps.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    ranked = reps.select("set", "rep", "n", F.explode("tokens").alias("token")).join(often, "token").groupBy("set", "rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
-    # two sets of n words with Jaccard j share more than n - ceil(j n) of them, so one is among the first of each
-    prefix = F.slice("t", 1, F.col("n") - F.ceil(F.lit(least) * F.col("n")).cast("int") + 1)
-    index = cut(ranked.select("set", "rep", "n", F.explode(F.transform(prefix, lambda x: x["token"])).alias("token")))
-    asked = sets.join(queries.select("id"), "id", "left_semi")
-    ask = asked.select("set").distinct()
-    left = index.join(ask, "set", "left_semi")
-    right = index.select(F.col("set").alias("other"), F.col("rep").alias("other_rep"), F.col("n").alias("m"), "token")
-    pairs = left.join(right, "token").filter((F.col("set") != F.col("other")) & (F.col("m") >= F.lit(least) * F.col("n")) & (F.col("n") >= F.lit(least) * F.col("m"))).select("set", "other", "other_rep").distinct()
-    t = reps.select("set", "tokens")
-    o = reps.select(F.col("set").alias("other"), F.col("tokens").alias("other_tokens"))
-    scored = pairs.join(t, "set").join(o, "other").select("set", F.col("other_rep").alias("best_id"), tx.jaccard(F.col("tokens"), F.col("other_tokens")).alias("similarity")).filter(F.col("similarity") >= least)
-    best = scored.groupBy("set").agg(F.max_by(F.struct("best_id", "similarity"), F.struct("similarity", -F.col("best_id"))).alias("b"))
+    kind = rows.schema["id"].dataType.simpleString()
+    sets = cut(rows.select("id", tx.tokens(F.col("text")).alias("tokens"))).filter("size(tokens) > 0")
+    sets = cut(sets.select("id", F.sha2(F.concat_ws(" ", "tokens"), 256).alias("set"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("words")))
+    reps = cut(sets.groupBy("set").agg(F.min("id").alias("rep"), F.first("words").alias("words")))
+    asked = cut(sets.select("id", "set").join(queries.select("id"), "id", "left_semi"))
+    ask = cut(reps.join(asked.select("set").distinct(), "set", "left_semi"))
+    blocks, asks = (max(1, -(-d.count() // n)) for d, n in ((reps, BLOCK), (ask, BLOCK // 8)))
+    deal = lambda d, n: F.pmod(F.xxhash64("set", F.lit(d)), F.lit(n)).cast("int")
+    q = ask.select("set", "words", deal(1, asks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("rb"))
+    r = reps.select(F.col("set").alias("r_set"), "rep", F.col("words").alias("r_words"), deal(2, blocks).alias("r_rb"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("r_qb"))
+
+    def table(words: pd.Series, vocabulary: np.ndarray) -> np.ndarray:
+        flat = np.concatenate(list(words)).astype(np.int64)
+        row = np.repeat(np.arange(len(words)), words.map(len))
+        at = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
+        have = vocabulary[at] == flat
+        out = np.zeros((len(words), len(vocabulary)), np.float32)
+        out[row[have], at[have]] = 1
+        return out
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if not (left.empty or right.empty):
+            right = right.sort_values("rep").reset_index(drop=True)
+            size = right["r_words"].map(len).to_numpy()
+            for a in range(0, len(left), 64):
+                some = left.iloc[a : a + 64]
+                n = some["words"].map(len).to_numpy()[:, None]
+                vocabulary = np.unique(np.concatenate(list(some["words"])).astype(np.int64))
+                one = table(some["words"], vocabulary)
+                best: dict[str, tuple[float, object]] = {}
+                step = max(16, 8_000_000 // len(vocabulary))
+                for b in range(0, len(right), step):
+                    part = right.iloc[b : b + step]
+                    shared = (one @ table(part["r_words"], vocabulary).T).astype(np.float64)
+                    s = shared / (n + size[None, b : b + step] - shared)
+                    s[some["set"].to_numpy()[:, None] == part["r_set"].to_numpy()[None, :]] = -1
+                    for k, (i, name) in enumerate(zip(s.argmax(1), some["set"])):
+                        if s[k, i] >= least and s[k, i] > best.get(name, (0.0,))[0]:
+                            best[name] = (s[k, i], part["rep"].iloc[i])
+                out += [(name, rep, s) for name, (s, rep) in best.items()]
+        return pd.DataFrame(out, columns=["set", "best_id", "similarity"])
+
+    found = q.groupBy("qb", "rb").cogroup(r.groupBy("r_qb", "r_rb")).applyInPandas(meet, f"set string, best_id {kind}, similarity double")
+    order = Window.partitionBy("set").orderBy(F.col("similarity").desc(), "best_id")
+    best = found.withColumn("k", F.row_number().over(order)).filter("k = 1").drop("k")
     # a copy is the best match there can be: the least id of the class that isn't the row itself
     firsts = Window.partitionBy("set").orderBy("id")
-    two = sets.select("set", "id", F.row_number().over(firsts).alias("k")).filter("k <= 2").groupBy("set").agg(F.min("id").alias("one"), F.max("id").alias("two"))
-    out = queries.select("id").join(asked.select("id", "set"), "id", "left").join(two, "set", "left").join(best, "set", "left")
+    two = sets.select("set", "id").withColumn("k", F.row_number().over(firsts)).filter("k <= 2").groupBy("set").agg(F.min("id").alias("one"), F.max("id").alias("two"))
+    out = queries.select("id").join(asked, "id", "left").join(two, "set", "left").join(best, "set", "left")
     copy = F.when(F.col("one") != F.col("id"), F.col("one")).when(F.col("two") != F.col("id"), F.col("two"))
-    s = F.when(copy.isNotNull(), 1.0).otherwise(F.col("b.similarity"))
-    return out.select("id", F.coalesce(copy, F.col("b.best_id")).alias("best_id"), s.alias("similarity"), F.coalesce(tx.similarity_class(s), F.lit("new")).alias("class"))
+    s = F.when(copy.isNotNull(), 1.0).otherwise(F.col("similarity"))
+    return out.select("id", F.coalesce(copy, F.col("best_id")).alias("best_id"), s.alias("similarity"), F.coalesce(tx.similarity_class(s), F.lit("new")).alias("class"))
