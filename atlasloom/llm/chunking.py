@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 TOKEN = 4
 #: Bytes that a landmark depends on; a power of 2.
 WINDOW = 32
+#: Models that one call takes; they are read as configuration.
+MODELS = 256
 #: Natural boundaries from the strongest to the weakest: the cut falls after the match.
 BOUNDARIES = (
     re.compile(rb"\n[ \t]*\r?\n+|\n(?=#{1,6} )"),
@@ -110,22 +112,21 @@ def pieces(text: str, limit: int, overlap: int) -> list[str]:
 def split_oversized(items: DataFrame, models: DataFrame, keys: list[str], text: str, own_model: str | None = None, with_text: bool = True) -> DataFrame:
     """(keys.., model, tokens, piece int, pieces int[, piece_text]): the pieces of each text that is too large for a model.
 
-    ``models`` (model, chunk_max_tokens, chunk_overlap_tokens) is one row per model. A text is checked
+    ``models`` (model, chunk_max_tokens, chunk_overlap_tokens) is one row per model, at most ``MODELS``. A text is checked
     against each model, or with ``own_model`` against the model that this column names. Texts that
     fit, null and empty ones and rows of unknown models give nothing; repeated rows repeat. Other
     columns are dropped whatever their names. The size test runs before any text goes to Python.
     """
-    m = models.select(F.col("model").alias("__model"), F.col("chunk_max_tokens").cast("int").alias("__limit"), F.col("chunk_overlap_tokens").cast("int").alias("__overlap")).filter("__model is not null and __limit > 0").distinct()
+    known = sorted({(m.model, m.n, m.o) for m in models.select("model", F.col("chunk_max_tokens").cast("int").alias("n"), F.coalesce(F.col("chunk_overlap_tokens").cast("int"), F.lit(0)).alias("o")).distinct().limit(MODELS + 1).collect() if m.model is not None and m.n and m.n > 0})
+    if len(known) > MODELS:
+        raise ValueError(f"more than {MODELS} models")
     some = items.select(*[items[k].alias(f"k{i}") for i, k in enumerate(keys)], items[text].alias("text"), *([items[own_model].alias("__own")] if own_model else []))
     some = some.withColumn("tokens", F.ceil(F.octet_length("text") / TOKEN).cast("long"))
-    if own_model:
-        # the models are few and fixed; one row of maps joins them without a shuffle of texts
-        some = some.join(F.broadcast(m), F.col("__own") == F.col("__model")).filter("tokens > __limit")
-        some = some.withColumn("limits", F.array(F.struct(F.col("__model").alias("model"), F.col("__limit").alias("limit"), F.col("__overlap").alias("overlap"))))
-    else:
-        # a text goes to Python once, with the list of the models it is too large for
-        every = m.agg(F.array_sort(F.collect_list(F.struct(F.col("__model").alias("model"), F.col("__limit").alias("limit"), F.coalesce("__overlap", F.lit(0)).alias("overlap")))).alias("all"))
-        some = some.crossJoin(F.broadcast(every)).withColumn("limits", F.filter("all", lambda x: x["limit"] < F.col("tokens"))).filter("size(limits) > 0")
+    # the models are configuration; a text goes to Python once, with the list of those it is too large for
+    kind = "array<struct<model:string,limit:int,overlap:int>>"
+    every = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(n).alias("limit"), F.lit(o).alias("overlap")) for m, n, o in known]).cast(kind) if known else F.array().cast(kind)
+    over = F.filter(every, lambda x: (x["limit"] < F.col("tokens")) & (x["model"] == F.col("__own") if own_model else F.lit(True)))
+    some = some.withColumn("limits", over).filter("size(limits) > 0")
     kinds = [items.schema[k].dataType.simpleString() for k in keys]
     width = len(keys)
 

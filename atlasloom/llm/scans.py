@@ -171,22 +171,12 @@ def running_headers(lay: DataFrame) -> DataFrame:
     """(block_id, line): blocks that are or begin with a line at the head or foot of two or more pages of their job."""
     ends = lay.filter("outer").filter(~F.col("looks_number"))
     lines = ends.select("block_id", "job_id", "page_index", "line", _header_key(F.col("line")).alias("key")).filter(F.length("key") >= 4)
-    keyed = lines.groupBy("job_id", "key").agg(F.count_distinct("page_index").alias("pages")).filter("pages >= 2").select("job_id", "key")
-    same = lines.join(keyed, ["job_id", "key"]).select("block_id", "line")
-    # misread beyond the folding: half of the strokes as before, the rest close to it
-    half = lambda k: F.explode(F.array(F.concat(F.lit("a"), F.substring(k, F.lit(1), F.floor(F.length(k) / 2).cast("int"))), F.concat(F.lit("b"), F.substring(k, (F.floor(F.length(k) / 2) + 1).cast("int"), F.length(k)))))
-    loose = lines.join(keyed, ["job_id", "key"], "left_anti").filter(F.length("key") >= 10)
-    hits = [2, 1, 0, -1, -2]
-    probe = loose.select("*", half(F.col("key")).alias("h"))
-    known = keyed.select("job_id", F.col("key").alias("other"), half(F.col("key")).alias("h"))
-    near = probe.join(known, ["job_id", "h"]).filter((F.abs(F.length("key") - F.length("other")) <= len(hits)) & (F.levenshtein("key", "other") <= F.greatest(F.lit(2), F.length("key") / 10))).select("block_id", "line")
-    # single lines that differ only beyond the folding are compared with each other the same way
-    alone = probe.select("job_id", "h", F.col("key").alias("other"), F.col("page_index").alias("page"))
-    twins = probe.join(alone, ["job_id", "h"]).filter((F.col("page") != F.col("page_index")) & (F.levenshtein("key", "other") <= F.greatest(F.lit(2), F.length("key") / 10))).select("block_id", "line")
-    return same.unionByName(near).unionByName(twins).distinct()
-
-
-ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
+    # a line counts with the forms of its strokes that lack one, so a misreading beyond the folding
+    # still meets the others; forms are counted, lines never compared in pairs
+    forms = F.when(F.length("key") >= 10, _deletes(F.col("key"))).otherwise(F.array("key"))
+    seen = lines.select("block_id", "line", "job_id", "page_index", F.explode(forms).alias("form"))
+    often = seen.groupBy("job_id", "form").agg(F.count_distinct("page_index").alias("pages")).filter("pages >= 2").select("job_id", "form")
+    return seen.join(often, ["job_id", "form"], "left_semi").select("block_id", "line").distinct()
 
 
 def page_numbers(lay: DataFrame) -> DataFrame:
