@@ -56,3 +56,16 @@ def coverage(tiered: DataFrame, chunks: DataFrame, models: DataFrame) -> DataFra
     per = have.join(live, "node_id", "left_semi").groupBy("model").agg(F.count("*").alias("covered"))
     out = models.select("model").distinct().join(per, "model", "left").crossJoin(F.broadcast(total))  # one row
     return out.select("model", F.coalesce("covered", F.lit(0)).alias("covered"), "total", F.when(F.col("total") == 0, 0.0).otherwise(F.coalesce("covered", F.lit(0)) / F.col("total")).alias("share"))
+
+
+def container_paths(tree: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(id, path, tier): the names from the root down as one line, and the strictest tier on the way.
+
+    ``tree`` is the hierarchy with paths. Names of redacted containers are masked. One aggregate by
+    id over the steps of all paths; a path is as long as the tree is deep.
+    """
+    b = boxes.select(F.col("id").alias("step"), "name", "privacy_tier")
+    steps = tree.select("id", F.posexplode("path").alias("place", "step")).join(b, "step")
+    shown = F.when(F.col("privacy_tier") == "redacted", "[redacted]").otherwise(F.coalesce("name", F.lit("")))
+    got = steps.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", shown.alias("name")))).alias("p"), F.max(privacy.rank(F.col("privacy_tier"))).alias("n"))
+    return got.select("id", F.array_join(F.transform("p", lambda x: x["name"]), " / ").alias("path"), privacy.of_rank(F.coalesce("n", F.lit(0))).alias("tier"))

@@ -60,3 +60,33 @@ def jobs(blocks: DataFrame) -> DataFrame:
         F.coalesce(F.bool_or("fragment"), F.lit(False)).alias("fragments"),
         (F.sum(c * n) / F.sum(F.when(c.isNotNull(), n))).alias("confidence"),
     )
+
+
+def extents(blocks: DataFrame) -> DataFrame:
+    """(job_id, page_index, x, y, width, height): the box around all blocks of a page."""
+    return blocks.groupBy("job_id", "page_index").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("width")) - F.min("x")).alias("width"), (F.max(F.col("y") + F.col("height")) - F.min("y")).alias("height"))
+
+
+def column_gaps(blocks: DataFrame) -> DataFrame:
+    """(job_id, page_index, gap, middle): the widest gap between the merged x-intervals of a page; pages without a gap give nothing."""
+    order = Window.partitionBy("job_id", "page_index").orderBy("x", "block_id")
+    end = F.max(F.col("x") + F.col("width")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    gaps = blocks.withColumn("__end", end).withColumn("gap", F.col("x") - F.col("__end")).filter("gap > 0")
+    best = gaps.groupBy("job_id", "page_index").agg(F.max_by(F.struct("gap", ((F.col("x") + F.col("__end")) / 2).alias("middle")), F.struct("gap", -F.col("x"))).alias("g"))
+    return best.select("job_id", "page_index", "g.gap", "g.middle")
+
+
+def reading_order(blocks: DataFrame, line: float = 15.0) -> DataFrame:
+    """(block_id, place): blocks of a page by lines of ``line`` points, then from left to right."""
+    order = Window.partitionBy("job_id", "page_index").orderBy(F.floor(F.col("y") / line), "x", "block_id")
+    return blocks.select("block_id", F.row_number().over(order).alias("place"))
+
+
+def headings(blocks: DataFrame) -> DataFrame:
+    """(block_id, level): blocks whose lines are taller than the page's lower median line."""
+    from ..functions import marks
+
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
+    tall = blocks.select("block_id", "job_id", "page_index", (F.col("height") / lines).alias("line"))
+    mid = tall.groupBy("job_id", "page_index").agg(F.expr("percentile_disc(0.5) within group (order by line)").alias("usual"))
+    return tall.join(mid, ["job_id", "page_index"]).select("block_id", marks.heading_level(F.col("line"), F.col("usual")).alias("level")).filter("level is not null")

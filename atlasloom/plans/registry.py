@@ -447,3 +447,119 @@ SQL |= {
 SQL["document_profile"] = rf"""SELECT doc_id, len({_words('text')}) AS words,
     len(list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.?!])(\s)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')) AS sentences,
     CAST(ceil(octet_length(encode(coalesce(text, ''))) / 4.0) AS BIGINT) AS tokens, coalesce(length(text) = n_chars, false) AS right_length FROM documents"""
+
+
+# ---- more of the same tables --------------------------------------------------------------------
+
+
+def container_paths(spark, d):
+    return knowledge.container_paths(hierarchy.hierarchy(_links(spark, d)), _boxes(spark, d))
+
+
+def node_languages(spark, d):
+    lang = F.get_json_object("meta", "$.lang")
+    return _nodes(spark, d).groupBy(F.coalesce(lang, F.lit("unknown")).alias("lang")).agg(F.count("*").alias("nodes"), F.count_if(F.col("meta").isNull()).alias("without_meta"))
+
+
+def session_scopes(spark, d):
+    s = table(spark, d, "sessions").filter("id is not null").select("id", "scope_json").distinct()
+    scoped = s.select("id", F.explode(F.array_distinct(F.from_json("scope_json", "array<string>"))).alias("box"))
+    b = _boxes(spark, d).select(F.col("id").alias("box"), privacy.rank(F.col("privacy_tier")).alias("n"))
+    return scoped.join(b, "box", "left").groupBy("id").agg(F.count("*").alias("scopes"), F.count_if(F.col("n").isNull()).alias("missing"), privacy.of_rank(F.coalesce(F.max("n"), F.lit(0))).alias("tier"))
+
+
+def session_sources(spark, d):
+    r = history.references(_messages(spark, d))
+    return r.groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_set("node_id")), " ").alias("nodes"))
+
+
+def title_completion(spark, d):
+    n = _nodes(spark, d).filter(F.contains(F.lower("title"), F.lit("how to")) & F.col("deleted_at").isNull())
+    return n.select("id", "title").orderBy("title", "id").limit(8)
+
+
+def recent_sessions(spark, d):
+    s = table(spark, d, "sessions").filter("id is not null").groupBy("id").agg(F.max("started_at").alias("started_at"))
+    return s.orderBy(F.col("started_at").desc_nulls_last(), "id").limit(20)
+
+
+def repeated_deliveries(spark, d):
+    m = table(spark, d, "session_messages").filter("id is not null").groupBy("id").agg(F.count("*").alias("rows"), F.min("row_id").alias("first"), F.max("row_id").alias("last"))
+    return m.filter("rows > 1")
+
+
+def time_notations(spark, d):
+    kind = F.when(F.col("created_at").isNull(), "null").when(F.col("created_at").rlike("Z$"), "zulu").when(F.col("created_at").rlike(r"[+-]\d{2}:\d{2}$"), "offset").when(F.col("created_at").rlike(r"^\d{4}-"), "plain").otherwise("other")
+    m = table(spark, d, "session_messages").select(kind.alias("kind"), history.instant(F.col("created_at")).alias("t"))
+    return m.groupBy("kind").agg(F.count("*").alias("rows"), F.count("t").alias("readable"))
+
+
+def vector_profile(spark, d):
+    sq = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    c = table(spark, d, "node_chunks").select("model", "chunk_type", F.size("embedding").alias("n"), F.sqrt(sq).alias("norm"))
+    return c.groupBy("model", "chunk_type").agg(F.count("*").alias("vectors"), F.min("n").alias("least_dims"), F.max("n").alias("most_dims"), F.round(F.avg("norm"), 6).alias("norm"), F.count_if(F.col("norm") == 0).alias("zero"))
+
+
+def node_sizes(spark, d):
+    m = table(spark, d, "embedding_models").select("model", "chunk_max_tokens")
+    n = _nodes(spark, d).select(tx.estimate(F.col("detail")).alias("tokens"))
+    sizes = n.groupBy("tokens").agg(F.count("*").alias("nodes"))  # few sizes, so the models meet sizes, not nodes
+    j = sizes.join(F.broadcast(m), sizes["tokens"] > m["chunk_max_tokens"], "inner")
+    return j.groupBy("model").agg(F.sum("nodes").alias("too_large"), F.sum(F.col("nodes") * F.ceil(F.col("tokens") / F.col("chunk_max_tokens"))).alias("least_pieces"))
+
+
+def sliding_events(spark, d):
+    e = table(spark, d, "events")
+    return e.groupBy(F.window("ts", "1 hour", "30 minutes"), "event_type").agg(F.count("*").alias("events")).select(F.col("window.start").alias("start"), "event_type", "events")
+
+
+def event_keys(spark, d):
+    k = F.get_json_object("props", "$.k").cast("long")
+    return table(spark, d, "events").groupBy("event_type", k.alias("k")).agg(F.count("*").alias("events"), F.min("ts").alias("first"))
+
+
+def page_extents(spark, d):
+    return pages.extents(_boxed(spark, d))
+
+
+def reading_order(spark, d):
+    return pages.reading_order(_boxed(spark, d))
+
+
+def job_pages(spark, d):
+    b = table(spark, d, "ingest_blocks").groupBy("job_id", "block_type").agg(F.array_join(F.array_sort(F.collect_set("page_index")), ",").alias("pages"))
+    return b
+
+
+QUERIES |= {
+    f.__name__: f
+    for f in (
+        container_paths, node_languages, session_scopes, session_sources, title_completion, recent_sessions, repeated_deliveries, time_notations, vector_profile, node_sizes,
+        sliding_events, event_keys, page_extents, reading_order, job_pages,
+    )
+}
+
+SQL |= {
+    "container_paths": _LINKS.rstrip()
+    + f""", {_BOX}, way AS (SELECT id, id AS step, 0 AS up FROM link UNION ALL SELECT w.id, l.up, w.up + 1 FROM way w JOIN link l ON l.id = w.step WHERE l.up IS NOT NULL AND w.step NOT IN (SELECT id FROM ring))
+        SELECT w.id, string_agg(CASE WHEN b.privacy_tier = 'redacted' THEN '[redacted]' ELSE coalesce(b.name, '') END, ' / ' ORDER BY w.up DESC) AS path,
+        ['open', 'local_only', 'locked', 'redacted'][max({_RANK.format('b.privacy_tier')}) + 1] AS tier FROM way w JOIN box b ON b.id = w.step GROUP BY w.id""",
+    "node_languages": f"WITH {_CUR} SELECT coalesce(CASE WHEN json_valid(meta) THEN meta ->> 'lang' END, 'unknown') AS lang, count(*) AS nodes, count(*) FILTER (meta IS NULL) AS without_meta FROM cur GROUP BY 1",
+    "session_scopes": f"""WITH {_BOX}, s AS (SELECT DISTINCT id, scope_json FROM sessions WHERE id IS NOT NULL AND json_valid(scope_json) AND scope_json LIKE '[%'), e AS (SELECT id, unnest(list_distinct(CAST(json(scope_json) AS VARCHAR[]))) AS box FROM s)
+        SELECT e.id, count(*) AS scopes, count(*) FILTER (b.id IS NULL) AS missing, ['open', 'local_only', 'locked', 'redacted'][coalesce(max(CASE WHEN b.id IS NOT NULL THEN {_RANK.format('b.privacy_tier')} END), 0) + 1] AS tier FROM e LEFT JOIN box b ON b.id = e.box GROUP BY e.id""",
+    "session_sources": f"WITH {_MSG}, {_REF} SELECT session_id, array_to_string(list_sort(list(DISTINCT node_id)), ' ') AS nodes FROM ref GROUP BY session_id",
+    "title_completion": f"WITH {_CUR} SELECT id, title FROM cur WHERE contains(lower(title), 'how to') AND deleted_at IS NULL ORDER BY title, id LIMIT 8",
+    "recent_sessions": "SELECT id, max(started_at) AS started_at FROM sessions WHERE id IS NOT NULL GROUP BY id ORDER BY 2 DESC NULLS LAST, id LIMIT 20",
+    "repeated_deliveries": 'SELECT id, count(*) AS "rows", min(row_id) AS "first", max(row_id) AS "last" FROM session_messages WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1',
+    "time_notations": f"""SELECT CASE WHEN created_at IS NULL THEN 'null' WHEN regexp_matches(created_at, 'Z$') THEN 'zulu' WHEN regexp_matches(created_at, '[+-]\\d{{2}}:\\d{{2}}$') THEN 'offset' WHEN regexp_matches(created_at, '^\\d{{4}}-') THEN 'plain' ELSE 'other' END AS kind,
+        count(*) AS "rows", count({_SENT.format('created_at')}) AS readable FROM session_messages GROUP BY 1""",
+    "vector_profile": f"""SELECT model, chunk_type, count(*) AS vectors, min(len(embedding)) AS least_dims, max(len(embedding)) AS most_dims, round(avg(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))), 6) AS norm,
+        count(*) FILTER (sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) = 0) AS zero FROM node_chunks GROUP BY model, chunk_type""",
+    "node_sizes": f"""WITH {_CUR}, s AS (SELECT CAST(ceil(octet_length(encode(coalesce(detail, ''))) / 4.0) AS BIGINT) AS tokens FROM cur)
+        SELECT model, count(*) AS too_large, CAST(sum(ceil(tokens / chunk_max_tokens)) AS BIGINT) AS least_pieces FROM s JOIN embedding_models ON tokens > chunk_max_tokens GROUP BY model""",
+    "sliding_events": """WITH w AS (SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start FROM events) SELECT start, event_type, count(*) AS events FROM w GROUP BY 1, 2""",
+    "event_keys": """SELECT event_type, CAST(CASE WHEN json_valid(props) THEN props ->> 'k' END AS BIGINT) AS k, count(*) AS events, min(ts) AS "first" FROM events GROUP BY 1, 2""",
+    "page_extents": f"WITH {_TB} SELECT job_id, page_index, min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height FROM tb GROUP BY 1, 2",
+    "reading_order": f"WITH {_TB} SELECT block_id, row_number() OVER (PARTITION BY job_id, page_index ORDER BY floor(y / 15), x, block_id) AS place FROM tb",
+    "job_pages": "SELECT job_id, block_type, array_to_string(list_sort(list(DISTINCT page_index)), ',') AS pages FROM ingest_blocks GROUP BY 1, 2",
+}
