@@ -34,8 +34,9 @@ def current_links(*tables: tuple[DataFrame, str]) -> DataFrame:
     return one.select("id", F.nullif(strip("parent"), F.lit("")).alias("parent"))
 
 
-def _coin(col):
-    return F.xxhash64(F.col(col), F.col("turn")) % 2 == 0
+def _draw(col):
+    """A number by which neighbours differ, new in each round."""
+    return F.xxhash64(F.col(col), F.col("turn"))
 
 
 def _event(key, own, fewer=0, more=None, child=None, when=None):
@@ -54,7 +55,7 @@ def _peel(left: DataFrame) -> DataFrame:
     above = left.select(F.col("id").alias("up"), F.col("up").alias("a_up"), F.col("kids").alias("a_kids"), F.col("via").alias("a_via"), F.col("size").alias("a_size"))
     seen = left.join(above, "up", "left")
     leaf = F.col("kids") == 0
-    ok = (F.col("kids") > 0) & (F.col("a_kids") == 1) & F.col("a_up").isNotNull() & (F.col("a_up") != F.col("up")) & (F.col("up") != F.col("id")) & _coin("up") & ~_coin("a_up")
+    ok = (F.col("kids") > 0) & (F.col("a_kids") == 1) & F.col("a_up").isNotNull() & (F.col("a_up") != F.col("up")) & (F.col("up") != F.col("id")) & (_draw("up") < _draw("a_up")) & ((F.col("kids") != 1) | (_draw("up") < _draw("id")))
     seen = seen.withColumn("splice", F.coalesce(ok, F.lit(False)))
     own = F.struct(
         F.when(F.col("splice"), F.col("a_up")).otherwise(F.col("up")).alias("up"),
