@@ -201,9 +201,8 @@ def page_numbers(lay: DataFrame) -> DataFrame:
     return n.filter(ok).select("block_id", (F.col("bare").rlike("[lIOoS|]") & F.col("bare").rlike("[0-9]")).alias("misread"))
 
 
-def broken_words(df: DataFrame, lay: DataFrame, lexicon: DataFrame, tokens: DataFrame, furniture: DataFrame) -> DataFrame:
+def broken_words(df: DataFrame, lay: DataFrame, lexicon: DataFrame, furniture: DataFrame) -> DataFrame:
     """(block_id, left, mark, right, at_end, whole): words broken at the end of a line or of the block by a mark that isn't theirs."""
-    end = rf"([^\s{MARKS}]*(?:-[^\s{MARKS}]+)*\p{{L}})([{MARKS}])[ \t]*"
     inside = df.select("block_id", F.explode(F.regexp_extract_all("text", F.lit(rf"((?:\S*\p{{L}})[{MARKS}][ \t]*\r?\n[ \t]*[\p{{L}}|!0-9]\S*)"), F.lit(1))).alias("s"), F.lit(False).alias("at_end"))
     # the next block with running text, on the same page or the next one
     body = lay.join(furniture, "block_id", "left_anti").filter(~F.col("looks_number"))
@@ -237,7 +236,7 @@ def analyse(df: DataFrame) -> dict[str, DataFrame]:
     headers = cut(running_headers(lay))
     numbers = cut(page_numbers(lay))
     furniture = headers.select("block_id", "line").join(lay.filter(F.col("text") == F.col("line")).select("block_id"), "block_id", "left_semi").select("block_id").unionByName(numbers.select("block_id")).distinct()
-    broken = cut(broken_words(df, lay, lexicon, tokens, furniture))
+    broken = cut(broken_words(df, lay, lexicon, furniture))
     # broken words that aren't known even when whole may be misread as well
     odd = broken.filter("right <> ''").select("block_id", F.col("whole").alias("word")).distinct().join(lexicon.select("word"), "word", "left_anti")
     odd = cut(odd.select("block_id", (F.lit(ASIDE) + F.pmod(F.xxhash64("word"), F.lit(1_000_000))).cast("int").alias("at"), "word"))
