@@ -60,9 +60,12 @@ def _open(text: Column) -> Column:
 
 
 def words(df: DataFrame) -> DataFrame:
-    """(block_id, at, word): the words of each block that hold a letter, in order."""
+    """(block_id, at, word, before, after): the words of each block that hold a letter, in order, with their neighbours."""
     pieces = F.filter(F.regexp_extract_all(_open(F.col("text")), F.lit(f"({PIECE})"), F.lit(1)), lambda w: w.rlike(r"\p{L}"))
-    return df.select("block_id", F.posexplode(pieces).alias("at", "word"))
+    lists = df.select("block_id", pieces.alias("p"))
+    none = F.array(F.lit(None).cast("string"))
+    rows = F.arrays_zip(F.col("p").alias("word"), F.concat(none, "p").alias("before"), F.slice(F.concat("p", none), 2, F.greatest(F.size("p"), F.lit(1))).alias("after"))
+    return lists.select("block_id", F.posexplode(rows).alias("at", "x")).select("block_id", "at", "x.word", "x.before", "x.after").filter("word is not null")
 
 
 def distance(wrong: str, right: str) -> float:
@@ -118,9 +121,7 @@ def corrections(lexicon: DataFrame, tokens: DataFrame) -> DataFrame:
 
     pairs = cut(pairs.mapInPandas(weigh, "word string, n bigint, right string, m bigint, cost double"))
     odd = F.col("word").rlike(r"[ﬀ-ﬆ]") | ((F.length(F.regexp_replace("word", r"[^\p{L}]", "")) >= 3) & F.col("word").rlike(r"(?<![0-9|!])[01569|!](?![0-9|!])") & ~F.col("word").rlike(r"[0-9]{2}|[23478]"))
-    # neighbours of the words in question
-    near = Window.partitionBy("block_id").orderBy("at")
-    seen = tokens.withColumn("before", F.lag("word").over(near)).withColumn("after", F.lead("word").over(near))
+    seen = tokens
     some = seen.join(pairs.select("word").distinct(), "word", "left_semi").unionByName(seen.filter(odd)).distinct()
     cand = some.join(pairs, "word", "left")
     usual = cut(seen.filter("after is not null").groupBy("word", "after").agg(F.count("*").alias("c")))
@@ -241,7 +242,7 @@ def analyse(df: DataFrame) -> dict[str, DataFrame]:
     odd = broken.filter("right <> ''").select("block_id", F.col("whole").alias("word")).distinct().join(lexicon.select("word"), "word", "left_anti")
     odd = cut(odd.select("block_id", (F.lit(ASIDE) + F.pmod(F.xxhash64("word"), F.lit(1_000_000))).cast("int").alias("at"), "word"))
     wider = lexicon.unionByName(odd.groupBy("word").agg(F.count("*").alias("n")))
-    misread = corrections(wider, tokens.unionByName(odd))
+    misread = corrections(wider, tokens.unionByName(odd, allowMissingColumns=True))
     return {"blocks": df, "lexicon": lexicon, "layout": lay, "headers": headers, "numbers": numbers, "broken": broken, "misread": misread, "furniture": furniture}
 
 
