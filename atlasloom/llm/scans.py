@@ -30,6 +30,12 @@ CHEAP, FAR = 0.3, 0.75
 RATIO, RATIO_NEAR = 6.0, 1.5
 #: Places from here on are of words that don't stand in the text as one.
 ASIDE = 1_000_000_000
+#: Neither letter nor digit of any script.
+NONE = r"[^\p{L}\p{N}]"
+#: Words for the page before and after its number, and for the number of pages after it.
+PAGE = r"(?:(?:page|seite|página|pág|страница|стр|σελίδα|σελ|p|s)\.? ?|с\. ?|(?:第|ページ|頁|页) ?)"
+PAGE_AFTER = r"(?: ?(?:ページ|頁|页|쪽))"
+PAGES = rf"(?: ?(?:of|/|von|de|sur|из|από|[,，/]? ?共) ?[0-9lIO]{{1,5}}{PAGE_AFTER}?)"
 PIECE = r"(?:[\p{L}\p{M}\p{N}|]|!(?=\p{L}))+"
 
 
@@ -151,20 +157,22 @@ def layout(df: DataFrame) -> DataFrame:
     """Blocks with ``head``, ``foot`` (first, last of the page), their first line, and the text of the next block in reading order that isn't page furniture."""
     page = Window.partitionBy("job_id", "page_index")
     order = page.orderBy("block_index", "block_id")
-    number = r"^\W*(?:(?:page|seite|página|página|pág|p|s)\.? ?)?(?:[0-9lIOoS|]{1,6}|[ivxlcIVXLC]{1,7})(?: ?(?:of|/|von|de|sur) ?[0-9lIO]{1,5})?\W*$"
+    number = rf"^{NONE}*{PAGE}?(?:[0-9lIOoS|]{{1,6}}|[ivxlcIVXLC]{{1,7}}){PAGE_AFTER}?{PAGES}?{NONE}*$"
     return (
         df.withColumn("pos", F.row_number().over(order))
         .withColumn("of", F.count("*").over(page))
         .withColumn("line", _first(F.col("text")))
         .withColumn("last", F.regexp_extract("text", r"([^\r\n]*)\s*$", 1))
-        .withColumn("looks_number", F.col("text").rlike(r"(?i)" + number))
+        .withColumn("looks_number", F.col("text").rlike(r"(?iu)" + number))
         .withColumn("outer", (F.col("pos") == 1) | (F.col("pos") == F.col("of")) | ((F.col("pos") == 2) & F.lag("looks_number").over(order)) | ((F.col("pos") == F.col("of") - 1) & F.lead("looks_number").over(order)))
     )
 
 
 def _header_key(line: Column) -> Column:
     """The line without page numbers at its ends, as strokes."""
-    bare = F.regexp_replace(line, r"(?i)^\s*[\[(–—-]*\s*(?:(?:page|seite|p|s)\.? )?[0-9lIOoSB|!]{1,5}\s*[\])|–—-]*\s+(?=\S{2})|\s+[\[(|–—-]*\s*(?:(?:page|seite|p|s)\.? )?[0-9lIOoSB|!]{1,5}\s*[\])|–—-]*\s*$", " ")
+    before, after = r"(?:(?:page|seite|p|s)\. |(?:стр|с|σελ)\. ?|第 ?)?", f"{PAGE_AFTER}?"
+    number = r"[0-9lIOoSB|!]{1,5}"
+    bare = F.regexp_replace(line, rf"(?iu)^\s*[\[(–—-]*\s*{before}{number}{after}\s*[\])|–—-]*[\s　]+(?=\S{{2}})|[\s　]+[\[(|–—-]*\s*{before}{number}{after}\s*[\])|–—-]*\s*$", " ")
     return F.regexp_replace(fold(bare), r"[^\p{L}\p{N}]+", "")
 
 
@@ -187,7 +195,7 @@ def page_numbers(lay: DataFrame) -> DataFrame:
     lie as far from their page_index, or it is the only one and no table cell in the middle of a page.
     """
     n = lay.filter("looks_number").withColumn("t", F.trim("text"))
-    bare = F.regexp_replace(F.regexp_replace("t", r"(?i)(?: ?(?:of|/|von|de|sur) ?[0-9lIO]{1,5})\W*$", ""), r"(?i)^\W*(?:(?:page|seite|página|pág|p|s)\.? ?)?|\W*$", "")
+    bare = F.regexp_replace(F.regexp_replace("t", rf"(?iu){PAGES}{NONE}*$", ""), rf"(?iu)^{NONE}*{PAGE}?|{PAGE_AFTER}?{NONE}*$", "")
     n = n.withColumn("bare", bare)
     digits = F.translate(F.col("bare"), "lIOoS|", "110051")
     n = n.withColumn("value", F.when(digits.rlike("^[0-9]{1,6}$") & F.col("bare").rlike("[0-9]"), digits.cast("long"))).withColumn("roman", F.lower(F.col("bare")).rlike("^(?:x{0,3})(?:ix|iv|v?i{0,3})$") & (F.length("bare") > 0))
@@ -198,7 +206,7 @@ def page_numbers(lay: DataFrame) -> DataFrame:
     only = votes.groupBy("job_id").agg(F.sum("votes").alias("all"))
     votes = votes.join(only, "job_id").filter("votes >= 2 or all = 1").select("job_id", "gap", F.lit(True).alias("goes"))
     n = n.join(votes, ["job_id", "gap"], "left")
-    ok = (decorated & at_end) | (F.col("roman") & at_end) | F.coalesce("goes", F.lit(False)) & at_end | (decorated & F.col("t").rlike(r"(?i)page|seite|p\.|\["))
+    ok = (decorated & at_end) | (F.col("roman") & at_end) | F.coalesce("goes", F.lit(False)) & at_end | (decorated & F.col("t").rlike(r"(?iu)page|seite|p\.|\[|стр|σελ|第|ページ|頁|页|쪽"))
     return n.filter(ok).select("block_id", (F.col("bare").rlike("[lIOoS|]") & F.col("bare").rlike("[0-9]")).alias("misread"))
 
 

@@ -57,3 +57,19 @@ def test_dirty(spark):
     assert scans.blocks((df, "text")).count() == 3
     assert scans.noise(scans.blocks((df, "text"))).count() == 0
     assert scans.noise(scans.blocks((df.limit(0), "text"))).count() == 0
+
+
+def test_numbers_in_other_scripts(spark):
+    pages = [
+        [f"Руководство по архиву {n}", "会議は12日に開かれた。", "Каждый редактор нашёл окно 3", "Η συνάντηση έγινε στις 12.", BASE[0], BASE[n - 11], foot]
+        for n, foot in ((12, "стр. 12 из 30"), (13, "第13页"), (14, "14 ページ"), (15, "- 15 -"))
+    ]
+    # alone on its page a paragraph is both head and foot
+    texts = ["会議は12日に開かれた。", "Встреча была 12 мая.\nВсе пришли.", "Το έτος 1821", "第 I 章の始まり"]
+    df = scans.blocks((frame(spark, [*pages, *([t] for t in texts)]), "text"))
+    ids = {(r.page_index, r.block_index): r.block_id for r in df.collect()}
+    got = {(r.block_id, r.noise) for r in scans.noise(df).collect() if r.noise != "misread"}
+    assert got == {(ids[p, 0], "running_header") for p in range(4)} | {(ids[p, 6], "page_number") for p in range(4)}
+    kept = {r.block_id: r.text for r in scans.paragraphs(df).collect()}
+    assert [kept[ids[p, 0]] for p in range(4, 8)] == [t.replace("\n", " ") for t in texts]
+    assert all(kept[ids[p, k]] == pages[p][k] for p in range(4) for k in (1, 2, 3))
