@@ -27,6 +27,16 @@ Emma Erik Fatima Felix Fiona Giulia Hannah Helena Henrik Hugo Ibrahim Ingrid Isa
 Karim Katarina Laura Layla Lena Leon Liam Linnea Lukas Magnus Maria Marta Martin Mateo Matteo Michael Mohammed Natalia Nina Olga Omar
 Pablo Paul Pedro Peter Petra Robert Samuel Sara Sofia Stefan Svetlana Sven Tomasz Valentina Yasmin Zara
 """.split()
+#: More common given names, and such in other scripts.
+GIVEN += """
+Aleksander Alexander Alexandra Amanda Amy Andrew Angela Anthony Antonio Barbara Brian Charles Charlotte Christopher Claire Deborah
+Diego Dorothy Edward Elizabeth Emily Francesca Francesco François George Grace Hans Harry Heather Henry Hiroshi Isabella Jack Jacob Jean
+Jennifer Jessica Jorge Joseph Joshua Juan Karen Kenji Klaus Kevin Linda Lisa Luis Luigi Manuel Margaret Marie Mark Mary Matthew Megan
+Mehmet Miguel Nancy Nicholas Oliver Patricia Patrick Philip Philippe Pierre Rachel Rebecca Richard Roberto Ryan Sandra Sarah Sergei Sharon
+Simon Sophie Stephen Steven Susan Teresa Thomas Timothy Victoria Vladimir William Wolfgang
+Александр Алексей Анастасия Андрей Анна Антон Борис Виктор Владимир Дарья Дмитрий Евгений Екатерина Елена Иван Игорь Ирина Ксения Мария
+Михаил Наталья Николай Олег Ольга Павел Пётр Сергей Светлана Татьяна Юлия Юрий Γιώργος Ελένη Κώστας Μαρία Νίκος
+""".split()
 #: Endings of family names, and words that stand before one.
 FAMILY = r"(?:well|ova|eva|stad|sen|sson|by|ford|ini|wicz|ski|ska|ley|ane|oue|ez|mann|berg|stein|escu|enko|shvili|opoulos|idis|ic|ić|ovic)"
 PARTICLE = r"(?:von|van|de|da|del|della|di|der|den|dos|du|la|le|af|zu|ter|ten)"
@@ -113,12 +123,15 @@ _HOST = rf"[A-Za-z0-9][A-Za-z0-9\-]*(?:{_DOT}[A-Za-z0-9\-]+)*{_DOT}[A-Za-z]{{2,2
 _EMAIL = re.compile(rf"(?i){_LOCAL}(?: ?[@＠] ?| ?[\[({{] ?at ?[\])}}] ?){_HOST}(?! ?dot )(?!\.[A-Za-z])")
 _SAID = re.compile(r"(?i)(?<![A-Za-z0-9_%+.\-])[A-Za-z0-9_](?:[A-Za-z0-9_%+.\-]*[A-Za-z0-9_])? at (?:[A-Za-z0-9\-]+ dot )+[A-Za-z]{2,24}(?![A-Za-z0-9\-])")
 
-_HOUSE = r"\d{1,4}(?:[a-zA-Z]|(?: (?:bis|ter)))?"
+_HOUSE = r"\d{1,5}(?:[a-zA-Z]|(?: (?:bis|ter)))?(?:[-–/]\d{1,5}[a-zA-Z]?)?"
+# five digits after the street may be the place's code: only without a comma, and less sure than a number before
+_HOUSE_AFTER = _HOUSE.replace("1,5", "1,4")
 _EN = re.compile(rf"(?<![\w.\-/:]){_HOUSE},? (?:[A-Z][\w'’-]*\.? ){{1,3}}(?:{'|'.join(STREET_EN)})\b|(?<![\w.\-/:])(?i:{_HOUSE},? (?:[^\W\d_]{{4,}} )(?:{'|'.join(STREET_EN)})\b)(?=[.,;)]|$| apt| \()")
 _ROM = "|".join(STREET_ROMANCE)
 _FR = re.compile(rf"(?<![\w.\-/:]){_HOUSE},? (?i:{_ROM}) (?:(?i:de la |de l['’]|de los |des |del |du |do |da |dos |de |d['’]))?[^\W\d_][\w'’-]+")
-_ES = re.compile(rf"(?<!\w)(?i:{_ROM}|c/) ?(?:(?i:de la |de los |del |do |da |dos |de ))?(?:[^\W\d_][\w'’-]+)(?: [A-Z][\w'’-]+)?,? (?:n[.º°]{{1,2}} ?)?{_HOUSE}(?!\w)")
-_DE = re.compile(rf"(?<![\w-])[^\W\d_][\w-]{{2,}}(?:{'|'.join(re.escape(x) for x in STREET_GERMANIC)}),? \d{{1,4}} ?[a-z]?(?!\w)", re.I)
+_ES = re.compile(rf"(?<!\w)(?i:{_ROM}|c/) ?(?:(?i:de la |de los |del |do |da |dos |de ))?(?:[^\W\d_][\w'’-]+)(?: [A-Z][\w'’-]+)?,? (?:n[.º°]{{1,2}} ?)?{_HOUSE_AFTER}(?!\w)")
+_ES_LONG = re.compile(_ES.pattern.replace(",? (?:n", " (?:n").replace(_HOUSE_AFTER, r"\d{5}"))
+_DE = re.compile(rf"(?<![\w-])[^\W\d_][\w-]{{2,}}(?:{'|'.join(re.escape(x) for x in STREET_GERMANIC)}),? \d{{1,4}}(?: ?[a-z](?!\w))?(?:[-–/]\d{{1,4}} ?[a-z]?)?(?!\w)", re.I)
 
 _SUR = rf"[^\W\d_]{{2,}}{FAMILY}"
 _AFTER = re.compile(rf"(?:-[^\W\d_]+)?(?: [A-Z]\.)?(?:,? (?i:{PARTICLE}))? ({_SUR}(?:-[^\W\d_]+)?)(?![\w@])", re.I)
@@ -128,6 +141,30 @@ _BACK = re.compile(rf"(?<!\w)(?:{PARTICLE} )?[A-Z][^\W\d_]*?(?:{FAMILY}|{FAMILY.
 _TITLE = re.compile(r"(?i)\b(?:mrs?|ms|miss|dr|prof|mx|sr|sra|frau|herr|mme|mlle|signed|name|owner|by|met)[.:]? \W?$")
 
 
+#: Words that follow a given name or stand in a pair without being a family name.
+NO_FAMILY = frozenset("""
+Project Team Group Method Model Plan Report Review Notes Note Handbook Guide Index Archive System Server Service Station Bridge River Lake
+Mount Island Park Square Street Road Lane Avenue Court Drive Place Way Row Hall House Hospital School College University Institute Library
+Museum Church Cathedral Airport Harbour Harbor Company Inc Ltd Llc Gmbh Corp Foundation Award Prize Test Act Law Theorem Protocol Framework
+Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December
+The And Or But For From With Will Can Could Would Should Is Was Has Had Does Did Said Asked Wrote Please Thanks Thank Dear Hello Best Regards
+I He She It We They You This That There Then When Where Who What Why How In On At By To Of As If Not No Yes Also After Before City Town Village
+Проект Улица Площадь Институт Отчёт План Метод Город Река Музей
+""".casefold().split())
+_CAP = r"(?:(?:O|D|Mc|Mac|L)['’]?)?[^\W\d_a-z](?:[^\W\d_]|['’](?=[^\W\d_]))+"
+_ANY = re.compile(rf"(?:-[^\W\d_]+)?(?: [^\W\d_a-z]\.)?(?: {PARTICLE})? ({_CAP}(?:-{_CAP})?)(?!\w|@|[.:/]\w)")
+#: Words before a name, and two or three capitalised words after them; given names in katakana or kanji carry a title behind.
+_AFTER_TITLE = re.compile(
+    rf"(?<!\w)(?:(?:Mrs|Mr|Ms|Miss|Dr|Prof|Mx|Sr|Sra|Frau|Herr|Mme|Mlle|Monsieur|Madame|Señora?|Dott|Господин|Госпожа|г-н|г-жа|Κύριος|Κυρία)\.? (?:(?:Dr|Prof|med)\. )*|(?:[Ss]igned|[Ff]ull [Nn]ame|[Cc]ontact(?: person)?|Nombre|Имя|ФИО)[:,] )"
+    rf"((?P<a>{_CAP})(?: [^\W\d_a-z]\.)?(?: {PARTICLE})? (?P<b>{_CAP}(?:-{_CAP})?))(?!\w|@|[.:/]\w)"
+)
+_CYRILLIC = re.compile(r"(?<!\w)[А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)? [А-ЯЁ][а-яё]+ [А-ЯЁ][а-яё]+(?:вич|вна|ична|ьич)(?:а|у|ем|ы|е|ой)?(?!\w)|(?<!\w)[А-ЯЁ][а-яё]+ [А-ЯЁ][а-яё]+(?:вич|вна|ична|ьич)(?:а|у|ем|ы|е|ой)? [А-ЯЁ][а-яё]+(?!\w)|(?<![\w.])[А-ЯЁ]\. ?[А-ЯЁ]\. ?[А-ЯЁ][а-яё]{2,}(?!\w)|(?<!\w)[А-ЯЁ][а-яё]{2,} [А-ЯЁ]\. ?[А-ЯЁ]\.")
+#: Common Japanese family names.
+_FAMILY_JA = "佐藤|鈴木|高橋|田中|伊藤|渡辺|渡邊|山本|中村|小林|加藤|吉田|山田|佐々木|山口|松本|井上|木村|斎藤|斉藤|清水|山崎|阿部|池田|橋本|石川|前田|藤田|後藤|岡田|長谷川|村上|近藤|石井|坂本|遠藤|青木|藤井|西村|福田|太田|三浦|藤原|岡本|松田|中島|中川|原田|小川"
+_JAPANESE = re.compile(rf"(?:{_FAMILY_JA})[ 　]?(?:[一-鿿々]{{1,3}}?|[ぁ-ゖ]{{2,4}}?|[ァ-ヺー]{{2,5}}?)(?=さん|様|氏|先生|君|ちゃん|教授|博士)|(?:氏名|名前|担当者?)[:：] ?((?:{_FAMILY_JA})[ 　]?[一-鿿々ぁ-ゖァ-ヺー]{{1,4}})|(?:{_FAMILY_JA})(?=さん|様|氏(?!名)|先生)")
+_PLACE = re.compile(r"(?i)(?:\b(?:project|the|place|at the|near|city of|street|river|lake|mount|ship|model|saint|san|santa|st\.) |проект |улица |ул\. )$")
+
+
 @functools.cache
 def _signs():
     import ahocorasick
@@ -210,6 +247,13 @@ def _named(text: str, at: int, end: int, out: list[Span]) -> None:
         out.append(Span("name", at, m.end(), 0.8 + (0.1 if _TITLE.search(text[max(0, at - 12) : at]) else 0)))
     elif (m := _BEFORE.search(text, max(0, at - 48), at)) and _alike(given, m[1].split()[-1]) and text[end : end + 1] not in ("@", "＠", "+", "_") and not text[end : end + 3].startswith(" @"):
         out.append(Span("name", m.start(), end, 0.7))
+    elif (m := _ANY.match(text, end)) and given[:1].isupper() and (given.isupper() and len(given) > 1) == (m[1].isupper() and len(m[1]) > 1) and m[1].casefold() not in NO_FAMILY:
+        score = 0.6 + (0.1 if _TITLE.search(text[max(0, at - 12) : at]) else 0) - (0.3 if _PLACE.search(text[max(0, at - 12) : at]) else 0)
+        # a street or project has the name in front of its kind
+        following = re.match(r" ([^\W\d_]+)", text[m.end() : m.end() + 24])
+        if following and following[1][:1].isupper() and following[1].casefold() in NO_FAMILY:
+            score -= 0.3
+        out.append(Span("name", at, m.end(), score))
 
 
 def _alike(given: str, family: str) -> bool:
@@ -244,6 +288,8 @@ def spans(text: str) -> list[Span]:
     for k, forms in (("en", (_EN,)), ("rom", (_FR, _ES)), ("ger", (_DE,))):
         if k in found:
             out += [Span("address", m.start(), m.end(), 0.85) for f in forms for m in f.finditer(text)]
+    if "rom" in found:
+        out += [Span("address", m.start(), m.end(), 0.75) for m in _ES_LONG.finditer(text)]
     end = 0
     for a, b in givens:
         if a >= end:
@@ -253,6 +299,10 @@ def spans(text: str) -> list[Span]:
     if ". " in text or "." in text[-1:]:
         out += [Span("name", m.start(), m.end(), 0.7) for m in _INITIAL.finditer(text)]
         out += [Span("name", m.start(), m.end(), 0.65) for m in _BACK.finditer(text)]
+    out += [Span("name", m.start(1), m.end(1), 0.75) for m in _AFTER_TITLE.finditer(text) if not {m["a"].casefold(), m["b"].casefold()} & NO_FAMILY]
+    if not text.isascii():
+        out += [Span("name", m.start(), m.end(), 0.7) for m in _CYRILLIC.finditer(text)]
+        out += [Span("name", m.start(1) if m[1] else m.start(), m.end(), 0.7) for m in _JAPANESE.finditer(text)]
     kept: list[Span] = []
     for s in sorted(out, key=lambda s: (-s.score, s.start - s.end, s.start)):
         if s.score >= THRESHOLD and all(s.end <= o.start or o.end <= s.start for o in kept):

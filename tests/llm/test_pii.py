@@ -66,3 +66,22 @@ def test_characters_not_units():
     text = "🧠 İ ann@example.org"
     s = pii.spans(text)[0]
     assert text[s.start : s.end] == "ann@example.org" and s.start == 4
+
+
+def test_names_by_shape():
+    for text, want in [
+        ("Dr. John Smith came", ["John Smith"]), ("Maria Garcia and Thomas Miller", ["Maria Garcia", "Thomas Miller"]), ("Anna O'Neill, JOHN SMITH", ["Anna O'Neill", "JOHN SMITH"]),
+        ("Mr. Barnaby Quill said", ["Barnaby Quill"]), ("Signed: Zebulon Pike", ["Zebulon Pike"]),
+        ("Иван Петров пришёл", ["Иван Петров"]), ("Петров Иван Сергеевич, И. С. Петров", ["Петров Иван Сергеевич", "И. С. Петров"]), ("佐藤 健さん、氏名：鈴木一郎", ["佐藤 健", "鈴木一郎"]),
+    ]:
+        assert kinds(text) == [("name", w) for w in want], text
+    for text in ("the Maria Project", "Project Anna Station", "John Street Bridge", "Maria Garcia Street is long", "In May Anna Will", "Dear Anna Monday works"):
+        assert kinds(text) == [], text
+
+
+def test_long_house_numbers():
+    for text, want in [
+        ("at 12345 Main Street", "12345 Main Street"), ("at 12-14 High Street, Leeds", "12-14 High Street"), ("12–14 rue de Rivoli", "12–14 rue de Rivoli"), ("Calle Mayor 12-14", "Calle Mayor 12-14"),
+        ("Avenida Rivadavia 12345", "Avenida Rivadavia 12345"), ("Hauptstraße 12-14, Bonn", "Hauptstraße 12-14"), ("87 rue Overbrook, 99299 X", "87 rue Overbrook"),
+    ]:
+        assert kinds(text) == [("address", want)], text
