@@ -72,7 +72,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    return scans.paragraphs(_blocks(spark, d))
+    """Continuous paragraphs of each job, also those that run over a block or page end."""
+    return scans.whole(scans.paragraphs(_blocks(spark, d)))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:

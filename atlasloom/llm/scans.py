@@ -304,7 +304,8 @@ def _repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 text = text.replace(a, c)
             out.append(regex.sub(r"\s*\r?\n\s*", " ", text).strip())
         b["clean"] = out
-        yield b[["block_id", "job_id", "page_index", "block_index", "clean"]]
+        b["seam"] = b["taken"].notna()
+        yield b[["block_id", "job_id", "page_index", "block_index", "clean", "seam"]]
 
 
 def paragraphs(df: DataFrame) -> DataFrame:
@@ -312,7 +313,7 @@ def paragraphs(df: DataFrame) -> DataFrame:
 
     Lines are joined, broken words made whole, misread words replaced, headers and page numbers gone.
     A word broken at the end of a block is made whole there and leaves the next block. ``goes_on``
-    says that a paragraph begins in the middle of a sentence. Blocks without text left are dropped.
+    says that a paragraph begins in the middle of a sentence; ``whole`` joins such rows. Blocks without text left are dropped.
     """
     a = analyse(df)
     broken = a["broken"]
@@ -328,5 +329,25 @@ def paragraphs(df: DataFrame) -> DataFrame:
     kept = a["blocks"].join(a["numbers"], "block_id", "left_anti")
     for part in (fixes, splits, headers, taken):
         kept = kept.join(part, "block_id", "left")
-    clean = kept.select("block_id", "job_id", "page_index", "block_index", "text", "fixes", "splits", "header", "taken").mapInPandas(_repair, "block_id bigint, job_id string, page_index int, block_index int, clean string")
-    return clean.filter("clean <> ''").select("job_id", "page_index", "block_index", "block_id", F.col("clean").alias("text"), F.col("clean").rlike(r"^\p{Ll}").alias("goes_on"))
+    clean = kept.select("block_id", "job_id", "page_index", "block_index", "text", "fixes", "splits", "header", "taken").mapInPandas(_repair, "block_id bigint, job_id string, page_index int, block_index int, clean string, seam boolean")
+    return clean.filter("clean <> ''").select("job_id", "page_index", "block_index", "block_id", F.col("clean").alias("text"), (F.col("clean").rlike(r"^\p{Ll}") | F.col("seam")).alias("goes_on"))
+
+
+def whole(rows: DataFrame) -> DataFrame:
+    """(job_id, page_index, block_index, block_id, text, blocks): paragraphs in one row each, over the rows of ``paragraphs``.
+
+    A row that goes on belongs to the one before it in its job, also over the end of a page; the keys are
+    those of the first block. Rows are dealt by ranges, and a job's ranges are small rows whose counts are
+    carried on, so only the blocks of one paragraph meet in a task.
+    """
+    keys = ["page_index", "block_index", "block_id"]
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = cut(rows.repartitionByRange(n, "job_id", *keys).withColumn("part", F.spark_partition_id()))
+    starts = F.when(F.col("goes_on"), 0).otherwise(1)
+    ranges = dealt.groupBy("job_id", "part").agg(F.sum(starts).alias("starts"))
+    earlier = Window.partitionBy("job_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ranges.select(F.col("job_id").alias("job"), F.col("part").alias("range"), F.coalesce(F.sum("starts").over(earlier), F.lit(0)).alias("carried"))
+    inside = Window.partitionBy("job_id", "part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = dealt.withColumn("start", F.sum(starts).over(inside)).join(carried, (F.col("part") == F.col("range")) & F.col("job_id").eqNullSafe(F.col("job")))
+    grouped = numbered.groupBy("job_id", (F.col("carried") + F.col("start")).alias("paragraph")).agg(F.array_sort(F.collect_list(F.struct(*keys, "text"))).alias("b"))
+    return grouped.select("job_id", *(F.col("b")[0][k].alias(k) for k in keys), F.array_join("b.text", " ").alias("text"), F.size("b").alias("blocks"))

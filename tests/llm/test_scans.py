@@ -73,3 +73,20 @@ def test_numbers_in_other_scripts(spark):
     kept = {r.block_id: r.text for r in scans.paragraphs(df).collect()}
     assert [kept[ids[p, 0]] for p in range(4, 8)] == [t.replace("\n", " ") for t in texts]
     assert all(kept[ids[p, k]] == pages[p][k] for p in range(4) for k in (1, 2, 3))
+
+
+def test_whole(spark):
+    texts = ["One begins", "and goes on", "over the page.", "Two stands alone.", "Three is", "long"]
+    rows = [(job, k // 2, k % 2, 100 * j + k, t, t[0].islower()) for j, job in enumerate(["a", "b", None]) for k, t in enumerate(texts)]
+    # a job whose rows lie in many ranges, one paragraph of five blocks after the other
+    rows += [("c", k // 7, k % 7, 1000 + k, f"W{k}" if k % 5 == 0 else f"w{k}", k % 5 != 0) for k in range(203)]
+    df = spark.createDataFrame(rows, "job_id string, page_index int, block_index int, block_id long, text string, goes_on boolean")
+    got = {(r.job_id, r.block_id): (r.page_index, r.block_index, r.text, r.blocks) for r in scans.whole(df).collect()}
+    want = {}
+    for j, job in enumerate(["a", "b", None]):
+        want |= {(job, 100 * j): (0, 0, "One begins and goes on over the page.", 3), (job, 100 * j + 3): (1, 1, "Two stands alone.", 1), (job, 100 * j + 4): (2, 0, "Three is long", 2)}
+    for k in range(0, 203, 5):
+        of = range(k, min(k + 5, 203))
+        want["c", 1000 + k] = (k // 7, k % 7, " ".join(f"w{i}" if i % 5 else f"W{i}" for i in of), len(of))
+    assert got == want
+    assert scans.whole(df.limit(0)).count() == 0
