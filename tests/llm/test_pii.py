@@ -1,8 +1,11 @@
 from atlasloom.llm import pii
 
 
-def kinds(text):
-    return [(s.kind, text[s.start : s.end]) for s in pii.spans(text)]
+MODEL = pii.Model(frozenset({"greta", "marta"}), frozenset({"telmini"}), frozenset({"ova"}), frozenset({"monday", "will"}))
+
+
+def kinds(text, model=MODEL):
+    return [(s.kind, text[s.start : s.end]) for s in pii.spans(text, model)]
 
 
 FOUND = [
@@ -85,3 +88,31 @@ def test_long_house_numbers():
         ("Avenida Rivadavia 12345", "Avenida Rivadavia 12345"), ("Hauptstraße 12-14, Bonn", "Hauptstraße 12-14"), ("87 rue Overbrook, 99299 X", "87 rue Overbrook"),
     ]:
         assert kinds(text) == [("address", want)], text
+
+
+def test_check_digits_decide():
+    for text in ("we saw 12345678A there", "the value 111.444.777-00 is odd", "and 4111 1111 1111 1112 too", "see 666-12-3456 there", "card 4111 1111 1111 1112"):
+        assert kinds(text) == [], text
+    assert kinds("we saw 12345678Z there") == [("id_number", "12345678Z")]
+    # in a labelled field a mistyped number is still a person's
+    assert kinds("Passport 12345678A") == [("id_number", "12345678A")]
+
+
+def test_learnt_from_the_corpus(spark):
+    """Given names, family names and their endings come from sure contexts of the whole table, names of projects don't."""
+    given, family = ["Zorvan", "Quillia", "Brenth"], ["Askerund", "Bolderund", "Cresterund", "Dolverund", "Ensterund", "Falkerund"]
+    rows = [(f"Signed, {g} {f}. Then the note was closed by nobody. Amber Lantern is a project.",) for g in given for f in family]
+    rows += [("The quiet meadow is open and the brave zorvan sleeps.",), (None,), ("",)]
+    model = pii.learn(spark.createDataFrame(rows, "text string"), "text")
+    assert model.given == {"zorvan", "quillia", "brenth"}
+    assert model.family >= {f.casefold() for f in family} and "und" in model.endings
+    assert kinds("yesterday Quillia Askerund and B. Askerund went home", model) == [("name", "Quillia Askerund"), ("name", "B. Askerund")]
+    assert kinds("Galterund, Brenth and quillia bolderund", model) == [("name", "Galterund, Brenth"), ("name", "quillia bolderund")]
+    assert kinds("yesterday Quillia Askerund went", pii.PRIOR) == []
+    empty = pii.learn(spark.createDataFrame([], "text string"), "text")
+    assert empty == pii.PRIOR
+
+
+def test_overlaps_settled():
+    s = [pii.Span("name", 0, 4, 0.6), pii.Span("email", 3, 9, 0.9), pii.Span("phone", 9, 12, 0.7), pii.Span("name", 10, 11, 0.8), pii.Span("phone", 20, 22, 0.4)]
+    assert pii.settled(s) == [s[1], s[3]]
