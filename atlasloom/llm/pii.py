@@ -183,6 +183,16 @@ _ES = re.compile(rf"(?<!\w)(?i:{_ROM}|{_SHORT}) ?(?:(?i:de la |de los |del |do |
 _ES_LONG = re.compile(rf"(?<!\w)(?i:{_ROM}|{_SHORT}) ?(?:(?i:de la |de los |del |do |da |dos |de ))?(?:[^\W\d_][\w'’-]+)(?: [^\W\d_a-z][\w'’-]+)? (?:n[.º°]{{1,2}} ?|д\. ?)?\d{{5}}(?!\w)")
 _DE = re.compile(rf"(?<![\w-])[^\W\d_][\w-]{{2,}}(?:{'|'.join(re.escape(x) for x in STREET_GERMANIC)}),? \d{{1,4}}(?: ?[a-z](?!\w))?(?:[-–/]\d{{1,4}} ?[a-z]?)?(?!\w)", re.I)
 
+#: Titles; labels of names; what persons do; what is done to them.
+TITLES = "Mr Mrs Ms Miss Dr Prof Mx Sr Sra Frau Herr Herrn Mme Mlle Monsieur Madame Señor Señora Dott Sig Pan Pani Professor Doctor Captain Judge Nurse Senator Господин Госпожа г-н г-жа Κύριος Κυρία".split()
+LABELS = "signed|full name|name|contact|contact person|owner|author|holder|attn|patient|client|nombre|nom|nome|имя|фио|ansprechpartner".split("|")
+DID = "said|says|wrote|writes|asked|asks|told|called|replied|answered|signed|joined|agreed|thanked|mentioned|explained|lives|works|who|schrieb|sagte|fragte|rief|dijo|escribió|firmó|disse|escreveu|a dit|a écrit".split("|")
+TO = "met|met with|ask|asked|tell|told|dear|hi|hello|thank|thanks to|call|called|email|emailed|said|wrote to|spoke with|spoke to|talk to|interviewed|written by|signed by|taken by|shared by|pregunta a|fale com|firmó|bitte".split("|")
+_any = lambda words: "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True))
+_TITLES = rf"(?:(?:{_any(TITLES)})\.?(?: (?:Dr|Prof|med)\.)*)"
+_LABELS = rf"(?i:{_any(LABELS)})"
+_DID = rf"(?:{_any(DID)})"
+_TO = rf"(?i:{_any(TO)})"
 #: Words that follow a given name or stand in a pair without being a family name.
 NO_FAMILY = frozenset("""
 Project Team Group Method Model Plan Report Review Notes Note Handbook Guide Index Archive System Server Service Station Bridge River Lake
@@ -192,13 +202,7 @@ Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March
 The And Or But For From With Will Can Could Would Should Is Was Has Had Does Did Said Asked Wrote Please Thanks Thank Dear Hello Best Regards
 I He She It We They You This That There Then When Where Who What Why How In On At By To Of As If Not No Yes Also After Before City Town Village
 Проект Улица Площадь Институт Отчёт План Метод Город Река Музей
-Mr Mrs Ms Miss Dr Prof Mx Sr Sra Frau Herr Herrn Mme Mlle Monsieur Madame Señor Señora Dott Sig Pan Pani Господин Госпожа
-""".casefold().split()) | frozenset(x.casefold() for x in (*STREET_EN, *STREET_ROMANCE))
-#: Titles; labels of names; verbs that persons do or that are done to them.
-_TITLES = r"(?:(?:Mrs|Mr|Ms|Miss|Dr|Prof|Mx|Sr|Sra|Frau|Herrn?|Mme|Mlle|Monsieur|Madame|Señora?|Dott|Sig|Pan|Pani|Господин|Госпожа|г-н|г-жа|Κύριος|Κυρία)\.?(?: (?:Dr|Prof|med)\.)*|Professor|Doctor|Captain|Judge|Nurse|Senator)"
-_LABELS = r"(?:[Ss]igned|[Ff]ull [Nn]ame|[Nn]ame|[Cc]ontact(?: person)?|[Oo]wner|[Aa]uthor|[Hh]older|[Aa]ttn|[Pp]atient|[Cc]lient|[Nn]ombre|[Nn]om|[Nn]ome|Имя|ФИО|Ansprechpartner)"
-_DID = r"(?:said|says|wrote|writes|asked|asks|told|called|replied|answered|signed|joined|agreed|thanked|mentioned|explained|lives|works|who|schrieb|sagte|fragte|rief|dijo|escribió|firmó|disse|escreveu|a dit|a écrit)"
-_TO = r"(?:[Mm]et(?: with)?|[Aa]sk(?:ed)?|[Tt]ell|[Tt]old|[Dd]ear|[Hh]i|[Hh]ello|[Tt]hanks? to|[Tt]hank|[Cc]all(?:ed)?|[Ee]mail(?:ed)?|[Ss]aid|[Ww]rote to|[Ss]poke (?:with|to)|[Tt]alk to|[Ii]nterviewed|[Ww]ritten by|[Ss]igned by|[Tt]aken by|[Ss]hared by|[Pp]regunta a|[Ff]ale com|[Ff]irmó|[Bb]itte)"
+""".casefold().split()) | frozenset(x.casefold() for x in (*STREET_EN, *STREET_ROMANCE, *TITLES))
 _CAP = r"(?:(?:O|D|Mc|Mac|L)['’]?)?[^\W\d_a-z](?:[^\W\d_]|['’](?=[^\W\d_]))+"
 _NAME = rf"(?P<{{0}}>{_CAP}(?:-{_CAP})?)(?: [^\W\d_a-z]\.){{{{0,2}}}}(?: {PARTICLE})? (?P<{{1}}>{_CAP}(?:-{_CAP})?)"
 _PAIR = _NAME.format("a", "b")
@@ -211,6 +215,7 @@ _FOLLOWED = re.compile(rf"(?<![\w.@+-])(?P<n>{_PAIR})(?=,? ?[(<\[|,] ?(?:\+\d|\(
 _ANY = re.compile(rf"(?:-[^\W\d_]+)?(?: [^\W\d_a-z]\.)*(?:,? (?i:{PARTICLE}))? ([^\W\d_](?:[^\W\d_]|['’](?=[^\W\d_]))+(?:-[^\W\d_]+)?){_END}")
 _BEFORE = re.compile(rf"((?<![\w-])(?:(?i:{PARTICLE}) )?([^\W\d_](?:[^\W\d_]|['’](?=[^\W\d_]))+(?:-[^\W\d_]+)?)(, | ))$")
 _INITIAL = re.compile(rf"(?<![\w.'’-])([^\W\d_a-z]\.(?: ?[^\W\d_a-z]\.)?)(?: {PARTICLE})? ({_CAP}(?:-{_CAP})?){_END}")
+_BACK_SIGN = re.compile(r", [^\W\d_a-z]\.")
 _BACK = re.compile(rf"(?<![\w-])(?:{PARTICLE} )?({_CAP}(?:-{_CAP})?), [^\W\d_a-z]\.(?:[^\W\d_a-z]\.)?(?!\w)")
 _TITLE = re.compile(rf"(?:(?<!\w){_TITLES}|\b{_LABELS}[:,]|\b(?:by|{_TO})) [\"'“„«(]?$")
 #: What numbers its parts by letters.
@@ -220,9 +225,15 @@ _WHERE = re.compile(r"(?i)\b(?:in|at|from|to|near|aus|nach|en|à|в|из) $")
 _CYRILLIC = re.compile(r"(?<!\w)[А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)? [А-ЯЁ][а-яё]+ [А-ЯЁ][а-яё]+(?:вич|вна|ична|ьич)(?:а|у|ем|ы|е|ой)?(?!\w)|(?<!\w)[А-ЯЁ][а-яё]+ [А-ЯЁ][а-яё]+(?:вич|вна|ична|ьич)(?:а|у|ем|ы|е|ой)? [А-ЯЁ][а-яё]+(?!\w)|(?<![\w.])[А-ЯЁ]\. ?[А-ЯЁ]\. ?[А-ЯЁ][а-яё]{2,}(?!\w)|(?<!\w)[А-ЯЁ][а-яё]{2,} [А-ЯЁ]\. ?[А-ЯЁ]\.")
 #: Common Japanese family names.
 _FAMILY_JA = "佐藤|鈴木|高橋|田中|伊藤|渡辺|渡邊|山本|中村|小林|加藤|吉田|山田|佐々木|山口|松本|井上|木村|斎藤|斉藤|清水|山崎|阿部|池田|橋本|石川|前田|藤田|後藤|岡田|長谷川|村上|近藤|石井|坂本|遠藤|青木|藤井|西村|福田|太田|三浦|藤原|岡本|松田|中島|中川|原田|小川"
+_CYRILLIC_SIGN = re.compile(r"(?:вич|вна|ична|ьич)|[А-ЯЁ]\.")
+_JAPANESE_SIGN = re.compile(r"さん|様|氏|先生|君|ちゃん|教授|博士|名前|担当")
 _JAPANESE = re.compile(rf"(?:{_FAMILY_JA})[ 　]?(?:[一-鿿々]{{1,3}}?|[ぁ-ゖ]{{2,4}}?|[ァ-ヺー]{{2,5}}?)(?=さん|様|氏|先生|君|ちゃん|教授|博士)|(?:氏名|名前|担当者?)[:：] ?((?:{_FAMILY_JA})[ 　]?[一-鿿々ぁ-ゖァ-ヺー]{{1,4}})|(?:{_FAMILY_JA})(?=さん|様|氏(?!名)|先生)")
 
 
+#: A cheap sign of a phone number.
+_CALL = re.compile(r"[+(0]\d|\d[).-] ?\d{3}")
+
+
 @functools.lru_cache(maxsize=2)
 def _signs(model: Model):
     """The automaton over given names, listed and learnt, and over the cheap signs of streets and spoken numbers."""
@@ -245,12 +256,31 @@ def _signs(model: Model):
     for x in DIGIT_WORDS:
         for y in DIGIT_WORDS:
             put.setdefault(f"{x} {y}", set()).add("spoken")
+    for words, kind, after in ((TITLES, "led", (" ", ".")), (LABELS, "led", (":", ",")), (TO, "asked", (" ",)), (DID, "did", ("",))):
+        for w in words:
+            for end in after:
+                put.setdefault((" " if kind == "did" else "") + w.lower() + end, set()).add(kind)
     for k, kinds in put.items():
         a.add_word(k, (tuple(kinds), len(k)))
     a.make_automaton()
     return a
 
 
+def _signed(low: str, model: Model) -> tuple[set[str], list[tuple[int, int]]]:
+    """The kinds of signs in a text in small letters, and where given names may stand."""
+    found: set[str] = set()
+    givens: list[tuple[int, int]] = []
+    for last, (kinds, n) in _signs(model).iter(low):
+        for k in kinds:
+            if k == "name":
+                givens.append((last + 1 - n, last + 1))
+            else:
+                found.add(k)
+    if "@" in low or "＠" in low or "mailto:" in low or _CALL.search(low):
+        found.add("did")
+    return found, givens
+
+
 def _lower(text: str) -> str:
     low = text.lower()
     return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
@@ -355,15 +385,15 @@ def _initialled(text: str, model: Model, out: list[Span]) -> None:
         known = model.familiar(m[2])
         score = 0.7 if known else 0.0 if word in model.common else 0.55 if m[1].count(".") > 1 else 0.3
         out.append(Span("name", m.start(), m.end(), score + (0.2 if _TITLE.search(ahead) else 0)))
-    for m in _BACK.finditer(text):
+    for m in _BACK.finditer(text) if _BACK_SIGN.search(text) else ():
         if model.familiar(m[1]) or _TITLE.search(text[max(0, m.start() - 24) : m.start()]):
             out.append(Span("name", m.start(), m.end(), 0.65))
 
 
-def _sure(text: str) -> Iterator[tuple[re.Match, float]]:
+def _sure(text: str, found: set[str]) -> Iterator[tuple[re.Match, float]]:
     """Pairs of capitalised words that their surroundings show to be names."""
-    for form, score in ((_LED, 0.75), (_ASKED, 0.6), (_FOLLOWED, 0.55)):
-        for m in form.finditer(text):
+    for kind, form, score in (("led", _LED, 0.75), ("asked", _ASKED, 0.6), ("did", _FOLLOWED, 0.55)):
+        for m in form.finditer(text) if kind in found else ():
             if not {m["a"].casefold(), m["b"].casefold()} & NO_FAMILY and (m["a"].isupper() == m["b"].isupper() or len(m["b"]) < 3):
                 yield m, score
 
@@ -376,14 +406,7 @@ def spans(text: str, model: Model = PRIOR) -> list[Span]:
         out += [Span("email", m.start(), m.end(), 1.0) for m in _EMAIL.finditer(text)]
     if " dot " in low:
         out += [Span("email", m.start(), m.end(), 0.9) for m in _SAID.finditer(text)]
-    found: set[str] = set()
-    givens: list[tuple[int, int]] = []
-    for last, (kinds, n) in _signs(model).iter(low):
-        for k in kinds:
-            if k == "name":
-                givens.append((last + 1 - n, last + 1))
-            else:
-                found.add(k)
+    found, givens = _signed(low, model)
     if "spoken" in found:
         out += [Span("phone", m.start(), m.end(), 0.8) for m in _SPOKEN.finditer(text)]
     for k, forms in (("en", (_EN,)), ("rom", (_FR, _ES)), ("ger", (_DE,))):
@@ -399,12 +422,14 @@ def spans(text: str, model: Model = PRIOR) -> list[Span]:
             end = max([end, *(s.end for s in out[k:] if s.score >= THRESHOLD)])
     if "." in text:
         _initialled(text, model, out)
-    for m, score in _sure(text):
+    for m, score in _sure(text, found):
         if not {m["a"].casefold(), m["b"].casefold()} & model.common:
             out.append(Span("name", m.start("n"), m.end("n"), score))
     if not text.isascii():
-        out += [Span("name", m.start(), m.end(), 0.7) for m in _CYRILLIC.finditer(text)]
-        out += [Span("name", m.start(1) if m[1] else m.start(), m.end(), 0.7) for m in _JAPANESE.finditer(text)]
+        if _CYRILLIC_SIGN.search(text):
+            out += [Span("name", m.start(), m.end(), 0.7) for m in _CYRILLIC.finditer(text)]
+        if _JAPANESE_SIGN.search(text):
+            out += [Span("name", m.start(1) if m[1] else m.start(), m.end(), 0.7) for m in _JAPANESE.finditer(text)]
     numbers = _numbers(text, low)
     if numbers:
         # a number right behind a name is a person's
@@ -466,7 +491,7 @@ def _evidence(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(0).to_pylist():
             words.update(_WORD.findall(text))
             pairs.update((m[1].casefold(), m[2].casefold()) for m in _RUN.finditer(text))
-            for m, _ in _sure(text):
+            for m, _ in _sure(text, _signed(_lower(text), PRIOR)[0]):
                 key = m["a"].split("-")[0].casefold(), m["b"].split("-")[0].casefold()
                 sure[key] += 1
                 pairs[key] += 0
