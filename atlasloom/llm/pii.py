@@ -230,10 +230,6 @@ _JAPANESE_SIGN = re.compile(r"さん|様|氏|先生|君|ちゃん|教授|博士|
 _JAPANESE = re.compile(rf"(?:{_FAMILY_JA})[ 　]?(?:[一-鿿々]{{1,3}}?|[ぁ-ゖ]{{2,4}}?|[ァ-ヺー]{{2,5}}?)(?=さん|様|氏|先生|君|ちゃん|教授|博士)|(?:氏名|名前|担当者?)[:：] ?((?:{_FAMILY_JA})[ 　]?[一-鿿々ぁ-ゖァ-ヺー]{{1,4}})|(?:{_FAMILY_JA})(?=さん|様|氏(?!名)|先生)")
 
 
-#: A cheap sign of a phone number.
-_CALL = re.compile(r"[+(0]\d|\d[).-] ?\d{3}")
-
-
 @functools.lru_cache(maxsize=2)
 def _signs(model: Model):
     """The automaton over given names, listed and learnt, and over the cheap signs of streets and spoken numbers."""
@@ -276,7 +272,7 @@ def _signed(low: str, model: Model) -> tuple[set[str], list[tuple[int, int]]]:
                 givens.append((last + 1 - n, last + 1))
             else:
                 found.add(k)
-    if "@" in low or "＠" in low or "mailto:" in low or _CALL.search(low):
+    if "@" in low or "＠" in low:
         found.add("did")
     return found, givens
 
@@ -308,12 +304,15 @@ def _checked(text: str, digits: str) -> float:
     return 0.0
 
 
-def _numbers(text: str, low: str) -> list[Span]:
+_DATE = re.compile(r"(?:19|20)\d\d-[01]\d-[0-3]\d(?!\d)")
+
+
+def _numbers(text: str) -> list[Span]:
     """The likeliest reading of every number; also those that only a name before them can raise to the threshold."""
     out, done = [], 0
     for m in _NUMBER.finditer(text):
         at = m.start()
-        if at < done:
+        if at < done or _DATE.match(text, at):
             continue
         best: Span | None = None
         for kind, forms in (("phone", PHONES), ("id_number", IDS)):
@@ -407,6 +406,9 @@ def spans(text: str, model: Model = PRIOR) -> list[Span]:
     if " dot " in low:
         out += [Span("email", m.start(), m.end(), 0.9) for m in _SAID.finditer(text)]
     found, givens = _signed(low, model)
+    numbers = _numbers(text)
+    if any(n.kind == "phone" for n in numbers):
+        found.add("did")
     if "spoken" in found:
         out += [Span("phone", m.start(), m.end(), 0.8) for m in _SPOKEN.finditer(text)]
     for k, forms in (("en", (_EN,)), ("rom", (_FR, _ES)), ("ger", (_DE,))):
@@ -430,7 +432,6 @@ def spans(text: str, model: Model = PRIOR) -> list[Span]:
             out += [Span("name", m.start(), m.end(), 0.7) for m in _CYRILLIC.finditer(text)]
         if _JAPANESE_SIGN.search(text):
             out += [Span("name", m.start(1) if m[1] else m.start(), m.end(), 0.7) for m in _JAPANESE.finditer(text)]
-    numbers = _numbers(text, low)
     if numbers:
         # a number right behind a name is a person's
         ends = sorted(s.end for s in out if s.kind == "name" and s.score >= THRESHOLD)
@@ -465,8 +466,8 @@ def redact(text: str, model: Model = PRIOR) -> str:
 
 # ---- what the corpus shows ----------------------------------------------------------------------
 
-# words in plain text: parts of mail addresses, hosts and codes say nothing about writing
-_WORD = re.compile(r"(?<![\w@.+/-])[^\W\d_]{2,}(?![\w@＠]|[.+/-]\w| ?[@＠])")
+#: A word among the marks around it; parts of mail addresses, hosts and codes say nothing about writing.
+_WORD = re.compile(r"[^\w@＠]*([^\W\d_]{2,})(?:['’]\w+)?[^\w@＠]*")
 _RUN = re.compile(rf"(?<![\w@.+/-])({_CAP})(?:-{_CAP})?(?: [^\W\d_a-z]\.)*(?: {PARTICLE})?(?= ({_CAP}))")
 
 
@@ -489,14 +490,15 @@ def _evidence(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words: Counter = Counter()
         for text in batch.column(0).to_pylist():
-            words.update(_WORD.findall(text))
+            words.update(text.split())
             pairs.update((m[1].casefold(), m[2].casefold()) for m in _RUN.finditer(text))
             for m, _ in _sure(text, _signed(_lower(text), PRIOR)[0]):
                 key = m["a"].split("-")[0].casefold(), m["b"].split("-")[0].casefold()
                 sure[key] += 1
                 pairs[key] += 0
-        for w, n in words.items():
-            (low if w.islower() else high)[w.casefold()] += n
+        for token, n in words.items():
+            if m := _WORD.fullmatch(token):
+                (low if m[1].islower() else high)[m[1].casefold()] += n
         if len(pairs) + len(low) + len(high) > HELD:
             yield passed()
     if pairs or low or high:
