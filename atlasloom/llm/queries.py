@@ -70,7 +70,7 @@ def p4_conversations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
-    return scans.blocks((table(spark, d, "ingest_blocks"), "recognized_text"), (table(spark, d, "text_blocks"), "text"))
+    return scans.blocks((table(spark, d, "ingest_blocks"), "recognized_text", "formatted_text"), (table(spark, d, "text_blocks"), "text"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -41,7 +41,7 @@ def test_paragraphs(spark, result):
     ids, df = result
     got = {r.block_id: r.text for r in scans.paragraphs(df).collect()}
     assert got[ids[0, 6]] == "the meeting was moved to the window"
-    assert got[ids[1, 6]] == "the archive needs a well- known index of two- or three-step plans"
+    assert got[ids[1, 6]] == "the archive needs a well-known index of two- or three-step plans"
     assert got[ids[2, 6]] == "every meeting was broken" and got[ids[3, 1]].startswith("again and the")
     assert got[ids[2, 0]] == "the editor moved on"
     assert ids[0, 0] not in got and ids[3, 7] not in got
