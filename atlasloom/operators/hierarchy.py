@@ -13,7 +13,7 @@ may hold a third of all rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..common import cut, newest, strip, written
@@ -39,53 +39,60 @@ def _draw(col):
     return F.xxhash64(F.col(col), F.col("turn"))
 
 
-def _event(key, own, fewer=0, more=None, child=None, when=None):
-    e = F.struct(
-        F.col(key).alias("id"),
-        (own if own is not None else F.lit(None).cast("struct<up:string,lost:boolean,via:array<string>,size:bigint,kids:bigint>")).alias("own"),
-        F.lit(fewer).cast("long").alias("fewer"),
-        (F.lit(0) if more is None else more).cast("long").alias("more"),
-        (F.col(child) if child else F.lit(None).cast("string")).alias("child"),
-    )
+def _event(key: str, own: list[tuple[str, str, Column]], fewer=None, more=None, child=None, when=None) -> Column:
+    """What one row tells another, or itself: ``own`` passes a row on, the numbers change it."""
+    n = lambda x: F.lit(None).cast("bigint") if x is None else x.cast("bigint")
+    e = F.struct(F.col(key).alias("no"), *[v.alias(c) for c, _, v in own], n(fewer).alias("fewer"), n(more).alias("more"), n(child).alias("child"))
     return e if when is None else F.when(when, e)
 
 
-def _peel(left: DataFrame) -> DataFrame:
-    """One round: rows of ``left`` with what their neighbours sent them; ``off`` marks those that go now."""
-    above = left.select(F.col("id").alias("up"), F.col("up").alias("a_up"), F.col("kids").alias("a_kids"), F.col("via").alias("a_via"), F.col("size").alias("a_size"))
+def _peel(left: DataFrame, with_path: bool) -> DataFrame:
+    """One round: rows of ``left`` with what their neighbours sent them; ``off`` marks those that go now.
+
+    Rows are numbers, so the aggregate that gathers the messages is one by hash.
+    """
+    way = ["id", "via"] if with_path else []
+    above = left.select(F.col("no").alias("up"), *[F.col(c).alias(f"a_{c}") for c in ("up", "kids", "steps", "size", *way)])
     seen = left.join(above, "up", "left")
     leaf = F.col("kids") == 0
-    ok = (F.col("kids") > 0) & (F.col("a_kids") == 1) & F.col("a_up").isNotNull() & (F.col("a_up") != F.col("up")) & (F.col("up") != F.col("id")) & (_draw("up") < _draw("a_up")) & ((F.col("kids") != 1) | (_draw("up") < _draw("id")))
+    ok = (F.col("kids") > 0) & (F.col("a_kids") == 1) & F.col("a_up").isNotNull() & (F.col("a_up") != F.col("up")) & (F.col("up") != F.col("no")) & (_draw("up") < _draw("a_up")) & ((F.col("kids") != 1) | (_draw("up") < _draw("no")))
     seen = seen.withColumn("splice", F.coalesce(ok, F.lit(False)))
-    own = F.struct(
-        F.when(F.col("splice"), F.col("a_up")).otherwise(F.col("up")).alias("up"),
-        F.col("lost"),
-        F.when(F.col("splice"), F.concat("a_via", F.array("up"), "via")).otherwise(F.col("via")).alias("via"),
-        F.col("size"),
-        F.col("kids"),
-    )
+    splice = F.col("splice")
+    own = [
+        ("turn", "bigint", F.col("turn") + 1),
+        ("up", "bigint", F.when(splice, F.col("a_up")).otherwise(F.col("up"))),
+        ("lost", "bigint", F.col("lost")),
+        ("steps", "bigint", F.when(splice, F.col("a_steps") + F.col("steps")).otherwise(F.col("steps"))),
+        ("size", "bigint", F.col("size")),
+        ("kids", "bigint", F.col("kids")),
+    ]
+    own += [("id", "string", F.col("id")), ("via", "array<string>", F.when(splice, F.concat("a_via", F.array("a_id"), "via")).otherwise(F.col("via")))] if with_path else []
+    none = [(c, kind, F.lit(None).cast(kind)) for c, kind, _ in own]
+    one = F.lit(1)
     events = F.array(
-        _event("id", own),
-        _event("up", None, 1, F.col("size"), when=leaf & F.col("up").isNotNull()),  # a leaf goes
-        _event("up", None, child="id", when=F.col("splice")),  # the row between is told that it goes
-        _event("a_up", None, 0, F.col("a_size"), when=F.col("splice")),  # and its size goes on
+        _event("no", own),
+        _event("up", none, one, F.col("size"), when=leaf & F.col("up").isNotNull()),  # a leaf goes
+        _event("up", none, child=F.col("no"), when=splice),  # the row between is told that it goes
+        _event("a_up", none, None, F.col("a_size"), when=splice),  # and its size goes on
     )
-    return (
-        seen.select("turn", F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e"))
-        .groupBy("e.id", (F.col("turn") + 1).alias("turn"))
-        .agg(F.max("e.own").alias("own"), F.sum("e.fewer").alias("fewer"), F.sum("e.more").alias("more"), F.max("e.child").alias("child"))
-        .select(
-            "id", "turn", "own.up", "own.lost", "own.via",
-            (F.col("own.size") + F.col("more")).alias("size"),
-            (F.col("own.kids") - F.col("fewer")).alias("kids"),
-            "child",
-            ((F.col("own.kids") == 0) | F.col("child").isNotNull()).alias("off"),
-        )
+    got = seen.select(F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e")).select("e.*").groupBy("no")
+    summed = got.agg(*[F.max(c).alias(c) for c, _, _ in own], *[F.sum(c).alias(c) for c in ("fewer", "more")], F.max("child").alias("child"))
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return summed.select(
+        "no", "turn", "up", "lost", "steps", (F.col("size") + z("more")).alias("size"), (F.col("kids") - z("fewer")).alias("kids"), *way,
+        "child", ((F.col("kids") == 0) | F.col("child").isNotNull()).alias("off"),
     )
 
 
+def _written_counting(df: DataFrame, what) -> tuple[DataFrame, int]:
+    """``df`` cut, and for how many of its rows ``what`` holds, without a job of its own."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count_if(what).alias("n")))
+    return out, seen.get["n"]
+
+
 def hierarchy(links: DataFrame, with_path: bool = True) -> DataFrame:
-    """(id, parent, root_id, depth, state, path, subtree) for unique ids in (id, parent).
+    """(id, parent, root_id, depth, state, subtree, path) for unique ids in (id, parent).
 
     state: 'cycle' on a circle (a row that is its own parent included), 'below_cycle' if the
     ancestors lead into one, 'orphan' if the topmost row refers to an id that isn't there, else
@@ -95,47 +102,53 @@ def hierarchy(links: DataFrame, with_path: bool = True) -> DataFrame:
     unless ``with_path``. subtree: how many rows hang below, the row included; null on a circle. An
     empty input gives an empty result.
     """
-    spark, links = links.sparkSession, links.select("id", "parent")
-    kids = links.groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("kids")).filter("id is not null")
-    there = links.select(F.col("id").alias("there"))
-    left = cut(
-        links.join(there, links["parent"] == there["there"], "left")
-        .join(kids, "id", "left")
-        .select("id", F.lit(0).alias("turn"), F.col("there").alias("up"), (F.col("there").isNull() & F.col("parent").isNotNull()).alias("lost"), F.array().cast("array<string>").alias("via"), F.lit(1).cast("long").alias("size"), F.coalesce("kids", F.lit(0)).alias("kids"))
-    )
+    spark = links.sparkSession
+    # rows get numbers, which are written so that they stay the same
+    base = cut(links.select("id", "parent", F.monotonically_increasing_id().alias("no")))
+    above = base.select(F.col("id").alias("parent"), F.col("no").alias("up"))
+    linked = base.join(above, "parent", "left").select("no", "up", (F.col("up").isNull() & F.col("parent").isNotNull()).cast("bigint").alias("lost"), *(["id"] if with_path else []))
+    null, text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+    way = lambda c: [c.alias("id")] if with_path else []
+    both = F.array(F.struct("no", "up", "lost", F.lit(0).cast("bigint").alias("kid"), *way(F.col("id") if with_path else text)), F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("no"), null.alias("up"), null.alias("lost"), F.lit(1).cast("bigint").alias("kid"), *way(text))))
+    start = linked.select(F.explode(F.filter(both, lambda e: e.isNotNull())).alias("e")).select("e.*").groupBy("no").agg(F.max("up").alias("up"), F.max("lost").alias("lost"), F.sum("kid").alias("kids"), *([F.max("id").alias("id")] if with_path else []))
+    one = F.lit(1).cast("bigint")
+    start = start.select("no", F.lit(0).cast("bigint").alias("turn"), "up", "lost", one.alias("steps"), one.alias("size"), "kids", *(["id", F.array().cast("array<string>").alias("via")] if with_path else []))
+    at_work = F.col("up").isNull() | (F.col("up") != F.col("no"))
+    left, n = _written_counting(start, at_work)
     gone: list[DataFrame] = []
-    while not left.filter("up is null or up <> id").isEmpty():
-        after = cut(_peel(left))
+    while n:
+        after, n = _written_counting(_peel(left, with_path), ~F.col("off") & at_work)
         gone.append(after.filter("off"))
         left = after.filter("not off").drop("child", "off")
     # what is left are circles, each one row that is its own parent
-    null = F.lit(None).cast("string")
     path = (lambda col: [col.alias("path")]) if with_path else (lambda col: [])
-    rings = left.select("id", null.alias("root"), F.col("id").alias("ring"), F.lit(True).alias("on"), F.lit(0).cast("long").alias("depth"), F.lit(False).alias("lost"), F.lit(None).cast("long").alias("subtree"), *path(F.array("id")))
+    rings = left.select("no", null.alias("root"), F.col("no").alias("ring"), F.lit(True).alias("on"), F.lit(0).cast("bigint").alias("depth"), F.lit(0).cast("bigint").alias("lost"), null.alias("subtree"), *path(F.array("id") if with_path else None))
     done, layout = [written(rings)], rings.schema
     for out in reversed(gone):
         have = spark.read.schema(layout).parquet(*done)  # one scan, however many rounds
         # every row hangs on a row that went later; a spliced row also asks the child it had
-        up = have.select(F.col("id").alias("up"), F.struct(*[c for c in have.columns if c != "id"]).alias("p"))
-        child = have.select(F.col("id").alias("child"), F.col("on").alias("c_on"), F.col("subtree").alias("c_subtree"))
+        up = have.select(F.col("no").alias("up"), F.struct(*[c for c in have.columns if c != "no"]).alias("p"))
+        child = have.select(F.col("no").alias("child"), F.col("on").alias("c_on"), F.col("subtree").alias("c_subtree"))
         got = out.join(up, "up", "left").join(child, "child", "left")
         on = F.coalesce("c_on", F.lit(False))
         first = F.col("up").isNull()
         new = got.select(
-            "id",
-            F.when(first, F.col("id")).otherwise(F.col("p.root")).alias("root"),
+            "no",
+            F.when(first, F.col("no")).otherwise(F.col("p.root")).alias("root"),
             F.col("p.ring").alias("ring"),
             on.alias("on"),
-            F.when(first | on, 0).otherwise(F.col("p.depth") + F.size("via") + 1).cast("long").alias("depth"),
+            F.when(first | on, 0).otherwise(F.col("p.depth") + F.col("steps")).cast("bigint").alias("depth"),
             F.when(first, F.col("lost")).otherwise(F.col("p.lost")).alias("lost"),
             F.when(on, None).otherwise(F.col("size") + F.coalesce("c_subtree", F.lit(0))).alias("subtree"),
             *path(F.when(first | on, F.array("id")).otherwise(F.concat("p.path", "via", F.array("id"))) if with_path else None),
         )
         done.append(written(new))
-    have = spark.read.schema(layout).parquet(*done)
-    least = have.filter("on").groupBy("ring").agg(F.min("id").alias("least"))
-    state = F.when(F.col("on"), "cycle").when(F.col("ring").isNotNull(), "below_cycle").when(F.col("lost"), "orphan").otherwise("tree")
-    return have.join(least, "ring", "left").join(links, "id").select("id", "parent", F.coalesce("least", "root").alias("root_id"), "depth", state.alias("state"), "subtree", *path(F.col("path")))
+    have = spark.read.schema(layout).parquet(*done).join(base, "no")
+    # the root of a circle is the least id on it
+    roots = base.select(F.col("no").alias("root"), F.col("id").alias("root_id")).unionByName(have.filter("on").groupBy(F.col("ring").alias("root")).agg(F.min("id").alias("root_id")).select((-F.col("root") - 1).alias("root"), "root_id"))
+    state = F.when(F.col("on"), "cycle").when(F.col("ring").isNotNull(), "below_cycle").when(F.col("lost") == 1, "orphan").otherwise("tree")
+    rooted = have.withColumn("root", F.coalesce(-F.col("ring") - 1, "root")).join(roots, "root")
+    return rooted.select("id", "parent", "root_id", "depth", state.alias("state"), "subtree", *path(F.col("path")))
 
 
 def descendants(tree: DataFrame) -> DataFrame:
