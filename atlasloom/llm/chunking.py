@@ -1,12 +1,13 @@
 """Splitting oversized texts at natural boundaries, by content-defined chunking.
 
 A rolling hash over the text's bytes sets landmarks that depend on the nearby bytes alone. A cut snaps
-from a landmark to the nearest natural boundary within the allowed sizes, so an edit moves only the
-cuts next to it. Each piece also carries the end of the one before it as overlap.
+from a landmark to the nearest natural boundary within the allowed sizes, weak kinds counting as farther
+away, so an edit moves only the cuts next to it. Each piece also carries the end of the one before it as overlap.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 TOKEN = 4
 #: Bytes that a landmark depends on; a power of 2.
 WINDOW = 32
-#: Models that one call takes; they are read as configuration.
+#: Models that a text is tested against at a time; more are taken in several goes.
 MODELS = 256
 #: Natural boundaries from the strongest to the weakest: the cut falls after the match.
 BOUNDARIES = (
@@ -29,6 +30,10 @@ BOUNDARIES = (
     re.compile("(?:[;:,]|—)[ \\t]+|、|，|；|：".encode()),
     re.compile(rb"[ \t]+|\xe3\x80\x80"),
 )
+#: By what part of the window a boundary of each kind counts as farther away than it is.
+WEAKER = (0.0, 0.1, 0.15, 0.4, 0.7)
+#: White space or a mark of any script after which a word may start.
+PAUSE = re.compile(rb"[ \t\n]+|\xc2\xa0|\xe3\x80[\x80-\x82]|\xef\xbc[\x81\x8c\x9a\x9b\x9f]")
 _GEAR = np.random.default_rng(20240607).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -49,58 +54,68 @@ def _starts(data: bytes) -> np.ndarray:
     return np.append((b & 0xC0) != 0x80, True)
 
 
-def cuts(data: bytes, least: int, most: int) -> list[int]:
-    """Ends of consecutive stretches of ``data``, each of ``least`` to ``most`` bytes but the last.
+class Marks:
+    """Landmarks, natural boundaries and character starts of one text; they don't depend on any size, so all models share them."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.hashes, self.starts = data, rolling(data), _starts(data)
+        self.ends = [np.fromiter((m.end() for m in p.finditer(data)), np.int64) for p in BOUNDARIES]
+
+    def cuts(self, least: int, most: int) -> list[int]:
+        """Ends of consecutive stretches, each of ``least`` to ``most`` bytes but the last.
+
+        In each window the landmark with the greatest hash counts, and the cut snaps to the boundary
+        nearest to it, where a boundary of a weaker kind counts as farther away by its part of the window.
+        Without any boundary the cut is the landmark itself, moved to the start of a character.
+        """
+        n, out, at = len(self.data), [], 0
+        while n - at > most:
+            low, high = at + least, at + most
+            mark = low + int(self.hashes[low - 1 : high].argmax())
+            cut, far = 0, float("inf")
+            for e, weak in zip(self.ends, WEAKER):
+                i = int(np.searchsorted(e, mark))
+                for x in e[max(0, i - 1) : i + 1]:
+                    if low <= x <= high and abs(int(x) - mark) + weak * (high - low) < far:
+                        cut, far = int(x), abs(int(x) - mark) + weak * (high - low)
+            if not cut:
+                cut = mark
+                while cut > at + 1 and not self.starts[cut]:
+                    cut -= 1
+                if not self.starts[cut] or cut <= at:  # a character wider than the window
+                    cut = at + 1 + int(self.starts[at + 1 :].argmax())
+            out.append(cut)
+            at = cut
+        return [*out, n]
+
+    def ranges(self, limit: int, overlap: int) -> list[tuple[int, int]]:
+        """Start and end of the pieces in bytes, each starting at or before the end of the one before."""
+        data, top = self.data, limit * TOKEN
+        if len(data) <= top:
+            return [(0, len(data))]
+        shared = max(0, min(overlap * TOKEN, top // 2))
+        most = max(4, top - shared)
+        out, at = [], 0
+        for end in self.cuts(max(1, most // 2), most):
+            start = at
+            if at and shared:
+                start = max(0, at - min(shared, top - (end - at)))
+                while start < at and not self.starts[start]:
+                    start += 1
+                # rather at the start of a word, if one is near
+                if start and not PAUSE.match(data, max(0, start - 3), start) and (m := PAUSE.search(data, start, min(at, start + shared // 3))):
+                    start = m.end()
+            out.append((start, end))
+            at = end
+        return out
 
-    In each window the landmark with the greatest hash counts. The cut is the strongest kind of
-    boundary in the window, the nearest to the landmark of them; without any boundary the landmark
-    itself, moved to the start of a character.
-    """
-    n, out, at = len(data), [], 0
-    if n <= most:
-        return [n]
-    hashes, starts = rolling(data), _starts(data)
-    ends = [np.fromiter((m.end() for m in p.finditer(data)), np.int64) for p in BOUNDARIES]
-    while n - at > most:
-        low, high = at + least, at + most
-        mark = low + int(hashes[low - 1 : high].argmax())
-        for e in ends:
-            inside = e[np.searchsorted(e, low) : np.searchsorted(e, high, "right")]
-            if len(inside):
-                cut = int(inside[np.abs(inside - mark).argmin()])
-                break
-        else:
-            cut = mark
-            while cut > at + 1 and not starts[cut]:
-                cut -= 1
-            if not starts[cut] or cut <= at:  # a character wider than the window
-                cut = at + 1 + int(starts[at + 1 :].argmax())
-        out.append(cut)
-        at = cut
-    return [*out, n]
+
+def cuts(data: bytes, least: int, most: int) -> list[int]:
+    return Marks(data).cuts(least, most) if len(data) > most else [len(data)]
 
 
 def ranges(data: bytes, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """Start and end of the pieces of ``data`` in bytes, each starting at or before the end of the one before."""
-    top = limit * TOKEN
-    if len(data) <= top:
-        return [(0, len(data))]
-    shared = max(0, min(overlap * TOKEN, top // 2))
-    most = max(4, top - shared)
-    starts, out, at = _starts(data), [], 0
-    for end in cuts(data, max(1, most // 2), most):
-        start = at
-        if at and shared:
-            start = max(0, at - min(shared, top - (end - at)))
-            while start < at and not starts[start]:
-                start += 1
-            # rather at the start of a word, if one is near
-            space = data.find(b" ", start, min(at, start + shared // 3))
-            if start and space >= 0 and data[start - 1 : start] not in (b" ", b"\n"):
-                start = space + 1
-        out.append((start, end))
-        at = end
-    return out
+    return Marks(data).ranges(limit, overlap) if len(data) > limit * TOKEN else [(0, len(data))]
 
 
 def pieces(text: str, limit: int, overlap: int) -> list[str]:
@@ -112,14 +127,16 @@ def pieces(text: str, limit: int, overlap: int) -> list[str]:
 def split_oversized(items: DataFrame, models: DataFrame, keys: list[str], text: str, own_model: str | None = None, with_text: bool = True) -> DataFrame:
     """(keys.., model, tokens, piece int, pieces int[, piece_text]): the pieces of each text that is too large for a model.
 
-    ``models`` (model, chunk_max_tokens, chunk_overlap_tokens) is one row per model, at most ``MODELS``. A text is checked
+    ``models`` (model, chunk_max_tokens, chunk_overlap_tokens) is one row per model, a small table of settings. A text is checked
     against each model, or with ``own_model`` against the model that this column names. Texts that
     fit, null and empty ones and rows of unknown models give nothing; repeated rows repeat. Other
     columns are dropped whatever their names. The size test runs before any text goes to Python.
     """
-    known = sorted({(m.model, m.n, m.o) for m in models.select("model", F.col("chunk_max_tokens").cast("int").alias("n"), F.coalesce(F.col("chunk_overlap_tokens").cast("int"), F.lit(0)).alias("o")).distinct().limit(MODELS + 1).collect() if m.model is not None and m.n and m.n > 0})
+    limits = models.filter("model is not null and chunk_max_tokens > 0").select("model", F.col("chunk_max_tokens").cast("int").alias("n"), F.coalesce(F.col("chunk_overlap_tokens").cast("int"), F.lit(0)).alias("o"))
+    known = sorted({(m.model, m.n, m.o) for m in limits.distinct().collect()})
     if len(known) > MODELS:
-        raise ValueError(f"more than {MODELS} models")
+        parts = [models.sparkSession.createDataFrame(known[i : i + MODELS], "model string, chunk_max_tokens int, chunk_overlap_tokens int") for i in range(0, len(known), MODELS)]
+        return functools.reduce(DataFrame.unionByName, [split_oversized(items, part, keys, text, own_model, with_text) for part in parts])
     some = items.select(*[items[k].alias(f"k{i}") for i, k in enumerate(keys)], items[text].alias("text"), *([items[own_model].alias("__own")] if own_model else []))
     some = some.withColumn("tokens", F.ceil(F.octet_length("text") / TOKEN).cast("long"))
     # the models are configuration; a text goes to Python once, with the list of those it is too large for
@@ -135,16 +152,18 @@ def split_oversized(items: DataFrame, models: DataFrame, keys: list[str], text:
             rows, models_, tokens, piece, of, texts = [], [], [], [], [], []
             size = 0
             for i, (t, n, limits) in enumerate(zip(b.column(width).to_pylist(), b.column(width + 1).to_pylist(), b.column(width + 2).to_pylist())):
+                data = t.encode("utf-8", "surrogatepass")
+                marks = Marks(data)
                 for x in limits:
-                    got = pieces(t, x["limit"], x["overlap"] or 0)
-                    for k, p in enumerate(got):
+                    got = marks.ranges(x["limit"], x["overlap"] or 0)
+                    for k, (start, end) in enumerate(got):
                         rows.append(i)
                         models_.append(x["model"])
                         tokens.append(n)
                         piece.append(k)
                         of.append(len(got))
-                        texts.append(p if with_text else None)
-                        size += len(p)
+                        texts.append(data[start:end].decode("utf-8", "surrogatepass") if with_text else None)
+                        size += end - start
                 if size > 8_000_000:
                     yield make(b, rows, models_, tokens, piece, of, texts)
                     rows, models_, tokens, piece, of, texts, size = [], [], [], [], [], [], 0

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from ..common import cut, newest
 
 ROLES = ("user", "assistant", "system")
-#: Turns in one row of the result.
-TURNS = 500
+#: Turns in one row of the result; longer sessions come in parts of so many.
+TURNS = 10_000
 # states: nothing open; a run of user messages waits; it waits and an empty reply came
 IDLE, ASKED, HOLLOW = 0, 1, 2
 
@@ -133,33 +133,22 @@ def faults(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     return both.select("session_id", fault.alias("fault")).filter("fault is not null")
 
 
-def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.string(), pa.timestamp("us", "UTC"), pa.int64(), pa.int64(), pa.list_(pa.struct([("role", pa.string()), ("content", pa.string())]))]
-    names = ["session_id", "at", "row_id", "n", "turns"]
-    rows, now = [], None
-    for b in batches:
-        for sid, at, row_id, role, content in zip(*(b.column(i).to_pylist() for i in range(5))):
-            if now is None or now[0] != sid or now[3] == TURNS:
-                now = [sid, at, row_id, 0, []]
-                rows.append(now)
-            now[3] += 1
-            now[4].append({"role": role, "content": content})
-        if len(rows) > 200:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[:-1]), kinds)], names)
-            rows = rows[-1:]
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-
-
-def conversations(sessions: DataFrame, messages: DataFrame) -> DataFrame:
-    """(session_id, first_turn, turns array<struct<role, content>>): the whole sessions in order.
+def conversations(sessions: DataFrame, messages: DataFrame, most: int = TURNS) -> DataFrame:
+    """(session_id, part, parts, turns array<struct<role, content>>): the whole sessions in order, one row each.
 
-    A session comes as rows of at most ``TURNS`` turns; first_turn counts from 0, so the rows by
-    first_turn are its list. Sessions with a fault are left out, an empty table gives an empty result.
+    Only a session of more than ``most`` turns comes in several parts, cut at multiples of ``most``, so
+    that no row has to hold more; parts count from 0. How the rows were dealt to tasks doesn't show.
+    Sessions with a fault are left out, an empty table gives an empty result.
     """
     bad = faults(sessions, messages)
     good = turns(messages).join(bad, "session_id", "left_anti")
-    listed = cut(_ranged(good.select("session_id", "at", "row_id", "role", "content")).mapInArrow(_rows, "session_id string, at timestamp, row_id bigint, n bigint, turns array<struct<role:string,content:string>>"))
-    before = Window.partitionBy("session_id").orderBy("at", "row_id").rowsBetween(Window.unboundedPreceding, -1)
-    first = listed.select("session_id", "row_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_turn"))
-    return listed.join(first, ["session_id", "row_id"]).select("session_id", "first_turn", "turns")
+    # in the order of the ranges every row has a number; a session's ranges are small rows that carry its count on
+    dealt = cut(_ranged(good.select("session_id", "at", "row_id", "role", "content")).select("session_id", "role", "content", F.monotonically_increasing_id().alias("no")))
+    dealt = dealt.withColumn("range", F.shiftright("no", 33))
+    ranges = dealt.groupBy("session_id", "range").agg(F.min("no").alias("first"), F.count("*").alias("n"))
+    all_ = Window.partitionBy("session_id")
+    before = all_.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ranges.select("session_id", "range", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"), F.ceil(F.sum("n").over(all_) / most).cast("int").alias("parts"))
+    numbered = dealt.join(carried, ["session_id", "range"]).select("session_id", "parts", (F.col("no") + F.col("shift")).alias("turn"), "role", "content")
+    listed = numbered.groupBy("session_id", F.floor(F.col("turn") / most).cast("int").alias("part"), "parts").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("t"))
+    return listed.select("session_id", "part", "parts", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("turns"))

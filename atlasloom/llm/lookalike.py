@@ -17,23 +17,37 @@ from pyspark.sql import functions as F
 
 from ..common import cut
 
-#: Letters that look like a Latin one.
-LOOK = {
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ϲ": "c", "Ϲ": "C", "ϳ": "j", "ν": "v",
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ԍ": "G",
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ѵ": "v", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ү": "y", "Ѵ": "V",
-    "ɡ": "g", "ɑ": "a", "ⅼ": "l", "ꓲ": "I", "Օ": "O", "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g",
-    "‐": "-", "‑": "-", "‒": "–", "∣": "|", "ǀ": "|", "∶": ":", "‚": ",", "․": ".",
-}
+#: Letters that look like a Latin one, by script, and signs that look like another.
+LOOK_FROM_TO = (
+    # Greek
+    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ABEZHIKMNOPTYXCJ"), ("ονρϲϳ", "ovpcj"),
+    # Cyrillic
+    ("АВЕКМНОРСТУХЅІЈҮԚԜԌѴӀ", "ABEKMHOPCTYXSIJYQWGVI"), ("аеорсухѕіјѵһԁԛԝүӏ", "aeopcyxsijvhdqwyl"),
+    # Armenian
+    ("ՕՍՏԼ", "OUSL"), ("օոսհցզյ", "onuhgqj"),
+    # Cherokee
+    ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᎩᏃ", "ABCDEGHJKLMPRSTVWYZ"),
+    # Coptic
+    ("ⲀⲂⲤⲈⲎⲒⲔⲘⲚⲞⲢⲦⲨⲬⲌ", "ABCEHIKMNOPTYXZ"), ("ⲟⲥⲣⲭ", "ocpx"),
+    # Lisu
+    ("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ"),
+    # Latin letters of other alphabets and small capitals
+    ("ɡɑɩⅼᴏᴠᴡᴢᴄꜱ", "gailovwzcs"),
+    # signs
+    ("‐‑‒∣ǀ∶‚․", "--–||:,."),
+)
+LOOK = {a: b for froms, tos in LOOK_FROM_TO for a, b in zip(froms, tos, strict=True)}
 #: Characters without any look of their own; joiners are handled by their neighbours.
 UNSEEN = "­͏؜ᅟᅠ឴឵᠎​‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩⁪⁫⁬⁭⁮⁯ㅤ﻿ﾠ￹￺￻"
 #: Where joiners shape what is seen (Arabic, Indic scripts) and where they join emoji.
 SHAPED = r"\x{0600}-\x{08FF}\x{0900}-\x{109F}\x{1780}-\x{17FF}"
 EMOJI = r"\x{00A9}\x{00AE}\x{203C}\x{2049}\x{2122}\x{2139}\x{2190}-\x{21FF}\x{2300}-\x{23FF}\x{2460}-\x{27BF}\x{2900}-\x{297F}\x{2B00}-\x{2BFF}\x{3030}\x{303D}\x{3297}\x{3299}\x{FE0F}\x{1F000}-\x{1FAFF}"
+#: Rows of one form that a task pairs with all others of it.
+SHARE = 1_000
 #: Bytes that go through DuckDB at once.
 AT_ONCE = 16_000_000
-#: A private character that no text of ours holds; it stands for a joiner meanwhile.
-ASIDE = chr(0xE0FF)
+#: A joiner that stays is written as the first and the last of these meanwhile, the first itself as the first and the second.
+ASIDE, ITSELF, JOINER = chr(0xE0FF), chr(0xE0FE), chr(0xE0FD)
 
 
 @functools.cache
@@ -75,9 +89,10 @@ def query() -> str:
         rf"regexp_replace(text, '[\x00-\x08\x0E-\x1F\x7F-\x{{9F}}{unseen}\x{{FE00}}-\x{{FE0E}}\x{{E0001}}\x{{E0100}}-\x{{E01EF}}]+', '', 'g')",
         rf"regexp_replace(text, '(^|[^{EMOJI}#*0-9])\x{{FE0F}}+', '\1', 'g')",
         # joiners between two emoji are put aside, twice as neighbours share an emoji
-        *[rf"regexp_replace(text, '([{EMOJI}])\x{{200D}}([{EMOJI}])', '\1{ASIDE}\2', 'g')"] * 2,
+        f"replace(text, {_quote(ASIDE)}, {_quote(ASIDE + ITSELF)})",
+        *[rf"regexp_replace(text, '([{EMOJI}])\x{{200D}}([{EMOJI}])', '\1{ASIDE}{JOINER}\2', 'g')"] * 2,
         rf"regexp_replace(text, '(^|[^{SHAPED}\x{{200C}}\x{{200D}}])[\x{{200C}}\x{{200D}}]+', '\1', 'g')",
-        f"replace(text, {_quote(ASIDE)}, {_quote(chr(0x200D))})",
+        f"replace(replace(text, {_quote(ASIDE + JOINER)}, {_quote(chr(0x200D))}), {_quote(ASIDE + ITSELF)}, {_quote(ASIDE)})",
         f"translate(text, {_quote(''.join(one))}, {_quote(''.join(one.values()))})",
         f"CASE WHEN regexp_matches(text, '[{''.join(more)}]') THEN " + functools.reduce(lambda x, c: f"replace({x}, {_quote(c)}, {_quote(more[c])})", more, "text") + " ELSE text END",
         r"regexp_replace(text, '[ \t]+(\n|$)', '\1', 'g')",
@@ -130,7 +145,7 @@ def one_form(df: DataFrame, key: str, text: str) -> DataFrame:
     return out.withColumnRenamed("key", key) if key != "text" else out
 
 
-def same_look(df: DataFrame, key: str, text: str) -> DataFrame:
+def same_look(df: DataFrame, key: str, text: str, share: int = SHARE) -> DataFrame:
     """(a, b): pairs of keys a < b whose texts look the same but aren't the same characters.
 
     Texts that are null or show nothing are in no pair. Only forms with more than one spelling go
@@ -140,8 +155,10 @@ def same_look(df: DataFrame, key: str, text: str) -> DataFrame:
     h = lambda c, s: F.struct(F.xxhash64(c), F.xxhash64(F.lit(s), c))
     seen = one_form(df, key, text).filter(F.col("form").rlike(r"(?U)[^\s\p{C}\u200B-\u200F\u2060]"))
     keys = cut(seen.select(F.col(key).alias("k"), h(F.col("form"), "form").alias("form"), h(F.col("text"), "text").alias("spelling")))
-    spellings = keys.groupBy("form", "spelling").agg(F.lit(1).alias("one"))
-    several = spellings.groupBy("form").agg(F.count("*").alias("n")).filter("n > 1").select("form")
-    left = keys.join(several, "form", "left_semi")
-    right = left.select("form", F.col("k").alias("b"), F.col("spelling").alias("other"))
-    return left.join(right, "form").filter((F.col("spelling") != F.col("other")) & (F.col("k") < F.col("b"))).select(F.col("k").alias("a"), "b").distinct()
+    copies = keys.groupBy("form", "spelling").agg(F.count("*").alias("n"))
+    # a form of many rows is dealt to several tasks, each with a share of one side
+    several = copies.groupBy("form").agg(F.count("*").alias("spellings"), F.ceil(F.sum("n") / share).cast("int").alias("shares")).filter("spellings > 1").select("form", "shares")
+    left = keys.distinct().join(several, "form")
+    a = left.select("form", "spelling", F.col("k").alias("a"), F.pmod(F.xxhash64("k"), F.col("shares")).cast("int").alias("share"))
+    b = left.select("form", F.col("spelling").alias("other"), F.col("k").alias("b"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    return a.join(b, ["form", "share"]).filter((F.col("spelling") != F.col("other")) & (F.col("a") < F.col("b"))).select("a", "b")

@@ -1,9 +1,10 @@
 """Filling containers of a fixed capacity, by sum of squares.
 
 A document goes where the squared counts of open containers per residual gap become smallest.
-Documents are dealt to shards of a bounded number of documents, each packed by its own task, largest
-first; the containers that stay open are dealt anew to fewer shards until one is left, so no task ever
-holds more than a shard and little space is lost between shards.
+Documents are dealt to shards of a bounded number of documents, packed one at a time, largest first, in
+as many tasks as there are shards; the containers that stay open are dealt anew to fewer shards until one
+is left or dealing anew no longer helps, so no task ever holds more than a shard and little space is lost
+between shards.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from ..common import cut
 SHARD = 65_536
 #: A container is dealt anew if more than this part of it is unused.
 OPEN = 0.01
+#: Dealing anew goes on while a round leaves at most this part of its items in open containers.
+SHRINKS = 0.95
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -73,23 +76,21 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, shard: int = SHAR
         pdf["gap"] = capacity - pdf.groupby("local")["size"].transform("sum")
         return pdf[["key", "piece", "size", "row", "shard", "local", "gap"]]
 
-    out, turn = [], 0
+    out, turn, n, before = [], 0, left.count(), None
     while True:
-        shards = max(1, -(-left.count() // shard))
+        shards = max(1, -(-n // shard))
         dealt = left.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(shards)))
-        packed = cut(dealt.groupBy("shard").applyInPandas(run, layout))
+        # small rows: without a number of its own Spark would put many shards into one task
+        packed = cut(dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(run, layout))
         name = F.lit(turn << 56).bitwiseOR(F.shiftleft("shard", 24)).bitwiseOR(F.col("local"))
-        done = packed if shards == 1 else packed.filter(F.col("gap") <= OPEN * capacity)
-        out.append(done.select("key", "piece", "size", name.alias("container_id")))
-        if shards == 1:
+        named = lambda d, name=name: d.select("key", "piece", "size", name.alias("container_id"))
+        again = packed.filter(F.col("gap") > OPEN * capacity)
+        before, n = n, 0 if shards == 1 else again.count()
+        if n == 0 or n > SHRINKS * before:  # one shard, all closed, or items that only fit so
+            out.append(named(packed))
             break
-        again = packed.filter(F.col("gap") > OPEN * capacity).select("key", "piece", "size", "row")
-        turn += 1
-        if turn == 5:  # the last round packs what is left in shards and keeps it
-            last = packed.filter(F.col("gap") > OPEN * capacity)
-            out.append(last.select("key", "piece", "size", name.alias("container_id")))
-            break
-        left = again
+        out.append(named(packed.filter(F.col("gap") <= OPEN * capacity)))
+        left, turn = again.select("key", "piece", "size", "row"), turn + 1
     result = out[0]
     for o in out[1:]:
         result = result.union(o)

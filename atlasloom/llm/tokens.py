@@ -176,3 +176,15 @@ def count(df: DataFrame, key: str, text: str, vocabulary: str = "byte_bpe_50k",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["key", "tokens"])
 
     return df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(run, f"key {kind}, tokens bigint").withColumnRenamed("key", key)
+
+
+def decode(df: DataFrame, key: str, ids: str, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+    """(key, bytes binary): the bytes that lists of ids stand for; a null or empty list gives none, an unknown id is an error."""
+    path, kind = _rank_file(vocabulary, folder), df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = {r: t for t, r in _encoder(path).rank.items()}
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([b"".join([of[i] for i in x or ()]) for x in b.column(1).to_pylist()], pa.binary())], ["key", "bytes"])
+
+    return df.select(df[key].alias("key"), df[ids].alias("ids")).mapInArrow(run, f"key {kind}, bytes binary").withColumnRenamed("key", key)

@@ -43,6 +43,22 @@ def test_cuts_at_natural_boundaries():
     assert all(data[e - 1 : e] in (b"\n", b" ") for e in ends)
 
 
+def test_nearest_boundary_and_overlap_in_any_script():
+    t = "漢字かな、" * 2000
+    got = c.pieces(t, 100, 16)
+    assert all(p.endswith("、") for p in got[:-1]) and all(p.startswith("漢") for p in got[1:])
+    # a strong boundary at the edge of the window doesn't win against a weaker one at the landmark
+    marks = c.Marks("".join(prose(60, k).replace("\n\n", " ") + "\n\n" for k in range(60)).encode())
+    ends = marks.cuts(400, 800)[:-1]
+    assert len({min(i for i, e in enumerate(marks.ends) if end in e) for end in ends}) > 1
+
+
+def test_many_models(spark):
+    m = spark.createDataFrame([(f"m{i}", 10 + i, 2) for i in range(c.MODELS + 5)], "model string, chunk_max_tokens int, chunk_overlap_tokens int")
+    df = spark.createDataFrame([("a", prose(400))], "id string, t string")
+    assert c.split_oversized(df, m, ["id"], "t").select("model").distinct().count() == c.MODELS + 5
+
+
 def test_edits_stay_local():
     t = prose(6000, 2)
     a = [e for e in c.cuts(t.encode(), 400, 1000)]

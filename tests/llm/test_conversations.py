@@ -39,7 +39,7 @@ def test_order_and_deliveries(spark):
     df = frame(spark, rows)
     again = df.filter("row_id = 1").selectExpr("row_id + 10 as row_id", "id", "session_id", "'usr' as role", "content", "created_at", "blank")
     s = spark.createDataFrame([("s",)], "id string")
-    got = sorted(c.conversations(s, df.unionByName(again)).collect(), key=lambda r: r.first_turn)
+    got = sorted(c.conversations(s, df.unionByName(again)).collect(), key=lambda r: r.part)
     assert [(t.role, t.content) for r in got for t in r.turns] == [("user", "q"), (A, "a"), ("system", "tie 1")]
 
 
@@ -69,14 +69,18 @@ def test_against_walk(spark):
 
 def test_long_session_in_parts(spark):
     rows = [("s", "user" if n % 2 == 0 else A, f"{n}", f"2025-01-{1 + n // 1440:02d} {n // 60 % 24:02d}:{n % 60:02d}:00") for n in range(2600)]
-    s = spark.createDataFrame([("s",)], "id string")
-    got = sorted(c.conversations(s, frame(spark, rows)).collect(), key=lambda r: r.first_turn)
-    assert all(len(r.turns) <= c.TURNS for r in got)
-    assert [t.content for r in got for t in r.turns] == [str(n) for n in range(2600)]
-    at = 0
-    for r in got:
-        assert r.first_turn == at
-        at += len(r.turns)
+    rows += [(f"t{k}", "user" if n % 2 == 0 else A, f"{n}") for k in range(40) for n in range(4)]
+    s = spark.createDataFrame([("s",), *((f"t{k}",) for k in range(40))], "id string")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("3", "7", "40"):  # however the rows are dealt
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = sorted(c.conversations(s, frame(spark, rows), 1000).collect(), key=lambda r: (r.session_id, r.part))
+            assert [(r.session_id, r.part, r.parts, len(r.turns)) for r in got] == [("s", 0, 3, 1000), ("s", 1, 3, 1000), ("s", 2, 3, 600), *((f"t{k}", 0, 1, 4) for k in sorted(range(40), key=str))]
+            assert [t.content for r in got[:3] for t in r.turns] == [str(n) for n in range(2600)]
+            assert all([t.content for t in r.turns] == ["0", "1", "2", "3"] for r in got[3:])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
 
 
 def test_empty(spark):

@@ -70,3 +70,13 @@ def test_pack(spark):
         assert sorted(of[0]) == [(0, 2048), (1, 2048), (2, 904)] and sorted(of[8]) == [(0, 2048), (1, 2048)] and of[99] == [(0, 0)] and len(of[1]) == 2
         assert len(per) <= -(-sum(per.values()) // 2048) + (1 if shard == 1000 else 4)
     assert packing.pack(df.limit(0), "doc_id", "tokens", 2048).count() == 0
+
+
+def test_shards_in_tasks_of_their_own(spark):
+    """Small rows too: shards aren't put together into one task, and items that leave every container open end the dealing."""
+    df = spark.range(4000).selectExpr("id as doc_id", "cast(1100 + id % 7 as long) as tokens")
+    got = packing.pack(df, "doc_id", "tokens", 2048, 500)
+    assert got.count() == got.select("container_id").distinct().count() == 4000
+    small = packing.pack(spark.range(4000).selectExpr("id as doc_id", "cast(1 + id * 37 % 900 as long) as tokens"), "doc_id", "tokens", 2048, 500)
+    total, used = small.agg({"size": "sum"}).first()[0], small.select("container_id").distinct().count()
+    assert used <= total / 2048 * 1.02 + 2
