@@ -60,3 +60,49 @@ def cut(df: DataFrame) -> DataFrame:
     knows the size and carries no constraints along, which double with every round of a loop.
     """
     return df.sparkSession.read.schema(df.schema).parquet(written(df))
+
+
+def dealt(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """``df`` with ``__no``, which grows in the order of ``keys`` and ``order``, and ``__range``, the task that holds the row.
+
+    Rows are dealt by ranges, so a key that holds a third of all rows lies in many tasks.
+    """
+    by = [*map(F.col, keys), *order]
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("__no", F.monotonically_increasing_id())
+    return cut(ranged).withColumn("__range", F.shiftright("__no", 33))
+
+
+def _with_ranges(inside: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with what the ranges of their key carry on: small rows, one for each range of a key."""
+    to = ranges.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__range").alias("__r"), *[c for c in ranges.columns if c not in (*keys, "__range")])
+    on = F.col("__range") == F.col("__r")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return inside.join(to, on, "left").drop("__r", *[f"__{k}" for k in keys])
+
+
+def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with the running sums of ``sums`` along ``order`` for each key, the row included; null counts as 0.
+
+    Sums run inside ranges, and the few totals of a key's ranges are carried on, so no key is ever one
+    task's alone. Rows that are equal in ``order`` come in any order, but each counts once.
+    """
+    d = dealt(df.withColumns({f"__{c}": F.coalesce(v, F.lit(0)) for c, v in sums.items()}), keys, order)
+    here = Window.partitionBy(*keys, "__range").orderBy("__no").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = d.groupBy(*keys, "__range").agg(*[F.sum(f"__{c}").alias(f"__{c}") for c in sums])
+    carried = totals.select(*keys, "__range", *[F.sum(f"__{c}").over(before).alias(f"__c_{c}") for c in sums])
+    inside = d.withColumns({c: F.sum(f"__{c}").over(here) for c in sums})
+    out = _with_ranges(inside, carried, keys)
+    return out.select(*df.columns, *[(F.col(c) + F.coalesce(f"__c_{c}", F.lit(0))).alias(c) for c in sums])
+
+
+def previous(df: DataFrame, keys: list[str], order: list[Column], column: str, name: str) -> DataFrame:
+    """``df`` with ``column`` of the row before along ``order`` for each key as ``name``, null for the first; by ranges as in ``running``."""
+    d = dealt(df, keys, order)
+    here = Window.partitionBy(*keys, "__range").orderBy("__no")
+    last = d.groupBy(*keys, "__range").agg(F.max_by(column, "__no").alias("__last"))
+    carried = last.select(*keys, "__range", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__range")).alias("__carried"))
+    inside = d.withColumns({"__lag": F.lag(column).over(here), "__first": F.row_number().over(here) == 1})
+    return _with_ranges(inside, carried, keys).select(*df.columns, F.when(F.col("__first"), F.col("__carried")).otherwise(F.col("__lag")).alias(name))

@@ -97,3 +97,12 @@ def negated(text: Column, previous: Column) -> Column:
 def unfenced(text: Column) -> Column:
     """JSON of a model's answer without the code fence around it."""
     return F.trim(F.regexp_replace(text, r"^\s*```(?:json)?\s*|\s*```\s*$", ""))
+
+
+def truncated(text: Column, budget: int) -> Column:
+    """The head of ``text`` that fits into ``budget`` estimated tokens: a quarter of the bytes each, cut between characters."""
+    most = 4 * budget
+    # a character has up to four bytes: the longest head of whole characters is found by its bytes
+    head = F.decode(F.substring(F.encode(text, "UTF-8"), 1, most), "UTF-8")
+    whole = F.octet_length(text) <= most
+    return F.when(whole, text).otherwise(F.left(text, F.length(F.regexp_replace(head, "\ufffd+$", ""))))

@@ -12,6 +12,8 @@ from ..functions import text as tx
 
 #: Rows of a block of vectors.
 BLOCK = 4096
+#: Ranges of sizes at most.
+CLASSES = 64
 
 
 def nearest_to(vectors: DataFrame, query: list[float], most: int) -> DataFrame:
@@ -64,25 +66,47 @@ def nearest_join(queries: DataFrame, rows: DataFrame, most: int) -> DataFrame:
     return best.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
 
 
+def _classes(cuts: list[int] | None, n: int, block: int) -> tuple[list[tuple[int, float]], int]:
+    """Ranges of sizes that hold about as many of ``n`` sets each, and the blocks of a range; few sets are one range."""
+    want = max(1, min(CLASSES, -(-n // block)))
+    starts = sorted({0, *((cuts[i * CLASSES // want - 1] + 1) for i in range(1, want))}) if cuts else [0]
+    ends = [x - 1.0 for x in starts[1:]] + [float("inf")]
+    return list(zip(starts, ends)), max(1, -(-n // len(starts) // block))
+
+
 def closest_words(rows: DataFrame, queries: DataFrame, least: float = 0.5) -> DataFrame:
     """(id, best_id, similarity, class): for each id of ``queries`` the row of the most similar word set.
 
     ``rows`` is (id, text), ``queries`` (id). Rows with the same set are one class, so copies never
-    meet in pairs. Each block of asked sets meets each block of all sets in a task of its own, as
-    matrices over the words that the asked sets have (as 64-bit hashes), and passes on one row per
-    set. Only similarities of ``least`` or more count. The least id wins ties; a row is never its own
-    match; without a match best_id and similarity are null and the class is 'new'.
+    meet in pairs. Sets lie in ranges of sizes, and only ranges meet whose sizes allow the similarity at
+    all: the smaller set has to be ``least`` of the larger one. Each block of asked sets meets each block
+    of such sets in a task of its own, as matrices over the words that the asked sets have (as 64-bit
+    hashes), and passes on one row per set. Only similarities of
+    ``least`` or more count. The least id wins ties; a row is never its own match; without a match best_id
+    and similarity are null and the class is 'new'.
     """
     kind = rows.schema["id"].dataType.simpleString()
-    sets = cut(rows.select("id", tx.tokens(F.col("text")).alias("tokens"))).filter("size(tokens) > 0")
-    sets = cut(sets.select("id", F.sha2(F.concat_ws(" ", "tokens"), 256).alias("set"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("words")))
-    reps = cut(sets.groupBy("set").agg(F.min("id").alias("rep"), F.first("words").alias("words")))
-    asked = cut(sets.select("id", "set").join(queries.select("id"), "id", "left_semi"))
-    ask = cut(reps.join(asked.select("set").distinct(), "set", "left_semi"))
-    blocks, asks = (max(1, -(-d.count() // n)) for d, n in ((reps, BLOCK), (ask, BLOCK // 8)))
+    # the words of a text are a variable here, so they are made once for both
+    made = F.get(F.transform(F.array(tx.tokens(F.col("text"))), lambda t: F.struct(F.sha2(F.concat_ws(" ", t), 256).alias("set"), F.transform(t, lambda w: F.xxhash64(w)).alias("words"))), F.lit(0))
+    sets = cut(rows.select("id", made.alias("s")).select("id", "s.set", "s.words")).filter("size(words) > 0")
+    wanted = queries.select("id").distinct().withColumn("wanted", F.lit(True))
+    reps = sets.join(wanted, "id", "left").groupBy("set").agg(F.min("id").alias("rep"), F.first("words").alias("words"), F.max(F.coalesce("wanted", F.lit(False))).alias("wanted"))
+    reps = cut(reps.withColumn("size", F.size("words")))
+    cuts = F.array(*[F.lit(i / CLASSES) for i in range(1, CLASSES)])
+    seen = reps.agg(
+        F.count("*").alias("sets"), F.count_if(F.col("wanted")).alias("asks"),
+        F.percentile_approx("size", cuts, 1000).alias("all"), F.percentile_approx(F.when(F.col("wanted"), F.col("size")), cuts, 1000).alias("asked"),
+    ).first()
+    one, other = _classes(seen["asked"], seen["asks"], BLOCK // 8), _classes(seen["all"], seen["sets"], BLOCK)
+    fits = [[i for i, (lo, hi) in enumerate(other[0]) if hi >= least * a and b >= least * lo] for a, b in one[0]]
+    back = [[i for i, f in enumerate(fits) if k in f] for k in range(len(other[0]))]
     deal = lambda d, n: F.pmod(F.xxhash64("set", F.lit(d)), F.lit(n)).cast("int")
-    q = ask.select("set", "words", deal(1, asks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("rb"))
-    r = reps.select(F.col("set").alias("r_set"), "rep", F.col("words").alias("r_words"), deal(2, blocks).alias("r_rb"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("r_qb"))
+    kind_of = lambda ranges: F.size(F.filter(F.array(*[F.lit(lo) for lo, _ in ranges]), lambda lo: lo <= F.col("size"))) - 1
+    places = lambda lists, at, n: F.explode(F.flatten(F.transform(F.get(F.array(*[F.array(*map(F.lit, x)).cast("array<int>") for x in lists]), at), lambda c: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.concat_ws("/", c, k)))))
+    q = reps.filter("wanted").withColumn("c", kind_of(one[0])).select("set", "words", F.concat_ws("/", "c", deal(1, one[1])).alias("own"), places(fits, F.col("c"), other[1]).alias("at"))
+    q = q.select("set", "words", F.concat_ws("-", "own", "at").alias("meet"))
+    r = reps.withColumn("c", kind_of(other[0])).select(F.col("set").alias("r_set"), "rep", F.col("words").alias("r_words"), F.concat_ws("/", "c", deal(2, other[1])).alias("own"), places(back, F.col("c"), one[1]).alias("at"))
+    r = r.select("r_set", "rep", "r_words", F.concat_ws("-", "at", "own").alias("r_meet"))
 
     def table(words: pd.Series, vocabulary: np.ndarray) -> np.ndarray:
         flat = np.concatenate(list(words)).astype(np.int64)
@@ -116,12 +140,13 @@ def closest_words(rows: DataFrame, queries: DataFrame, least: float = 0.5) -> Da
                 out += [(name, rep, s) for name, (s, rep) in best.items()]
         return pd.DataFrame(out, columns=["set", "best_id", "similarity"])
 
-    found = q.groupBy("qb", "rb").cogroup(r.groupBy("r_qb", "r_rb")).applyInPandas(meet, f"set string, best_id {kind}, similarity double")
+    found = q.groupBy("meet").cogroup(r.groupBy("r_meet")).applyInPandas(meet, f"set string, best_id {kind}, similarity double")
     order = Window.partitionBy("set").orderBy(F.col("similarity").desc(), "best_id")
     best = found.withColumn("k", F.row_number().over(order)).filter("k = 1").drop("k")
     # a copy is the best match there can be: the least id of the class that isn't the row itself
     firsts = Window.partitionBy("set").orderBy("id")
     two = sets.select("set", "id").withColumn("k", F.row_number().over(firsts)).filter("k <= 2").groupBy("set").agg(F.min("id").alias("one"), F.max("id").alias("two"))
+    asked = sets.select("id", "set").join(wanted.select("id"), "id", "left_semi")
     out = queries.select("id").join(asked, "id", "left").join(two, "set", "left").join(best, "set", "left")
     copy = F.when(F.col("one") != F.col("id"), F.col("one")).when(F.col("two") != F.col("id"), F.col("two"))
     s = F.when(copy.isNotNull(), 1.0).otherwise(F.col("similarity"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..common import strip, table
 from ..functions import privacy
 from ..functions import text as tx
+from . import documents
 from ..operators import hierarchy, history, knowledge, pages, similarity, state, usage
 
 
@@ -191,7 +192,7 @@ def last_vectors(spark, d):
 
 
 def history_window(spark, d):
-    return history.recent(_messages(spark, d), 400)
+    return history.recent(_messages(spark, d), 4000)
 
 
 def latest_question(spark, d):
@@ -217,7 +218,7 @@ def public_messages(spark, d):
 
 
 def prompt_context(spark, d):
-    return history.context(_messages(spark, d), _tiered(spark, d, live_only=True), "cloud", 2000)
+    return history.context(_messages(spark, d), _tiered(spark, d, live_only=True), "cloud", 8000)
 
 
 def session_totals(spark, d):
@@ -403,7 +404,7 @@ SQL |= {
         SELECT id, CASE WHEN added THEN 'added' ELSE 'changed' END AS change, CASE WHEN NOT added THEN c END AS columns FROM j WHERE added OR c <> ''""",
     "last_vectors": f"WITH {_CHUNK} SELECT node_id, chunk_type, chunk_index, model, epoch_us(written) AS written_us FROM chunk",
     "history_window": f"""WITH {_MSG}, c AS (SELECT session_id, row_id, CAST(ceil(octet_length(encode(coalesce(content, ''))) / 4.0) AS BIGINT) AS tokens, sent FROM msg),
-        u AS (SELECT session_id, row_id, tokens, sum(tokens) OVER (PARTITION BY session_id ORDER BY sent DESC NULLS LAST, row_id DESC ROWS UNBOUNDED PRECEDING) AS used FROM c) SELECT * FROM u WHERE used <= 400""",
+        u AS (SELECT session_id, row_id, tokens, sum(tokens) OVER (PARTITION BY session_id ORDER BY sent DESC NULLS LAST, row_id DESC ROWS UNBOUNDED PRECEDING) AS used FROM c) SELECT * FROM u WHERE used <= 4000""",
     "latest_question": f"WITH {_MSG} SELECT session_id, row_id, content FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sent DESC, row_id DESC) AS k FROM msg WHERE speaker = 'user' AND sent IS NOT NULL) WHERE k = 1",
     "corrections": f"""WITH {_MSG}, s AS (SELECT row_id, session_id, content, lag(content) OVER (PARTITION BY session_id ORDER BY sent, row_id) AS before FROM msg WHERE speaker = 'user' AND content IS NOT NULL AND sent IS NOT NULL),
         w AS (SELECT *, list_transform(regexp_split_to_array(lower(content), '\\s+'), lambda x: regexp_replace(x, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')) AS a,
@@ -417,10 +418,12 @@ SQL |= {
     "prompt_context": f"""WITH {_tier(True)}, {_MSG}, {_REF}, f AS (SELECT session_id, node_id, row_number() OVER (PARTITION BY session_id, node_id ORDER BY sent NULLS FIRST, row_id, position) AS k, sent, row_id, position FROM ref),
         g AS (SELECT f.*, CASE WHEN effective_tier = 'open' THEN 'full' ELSE 'stub' END AS policy, CASE WHEN effective_tier = 'open'
             THEN array_to_string(list_filter(['<document title="' || replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') || '">', replace(replace(replace(summary, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), replace(replace(replace(detail, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '</document>'], lambda x: x IS NOT NULL), chr(10))
-            ELSE concat_ws('', '[private note: ', title, ']') END AS block FROM f JOIN tier t ON t.id = f.node_id WHERE k = 1 AND deleted_at IS NULL AND NOT is_archived AND effective_tier IN ('open', 'locked')),
-        c AS (SELECT session_id, node_id, policy, CAST(ceil(octet_length(encode(block)) / 4.0) AS BIGINT) AS tokens, row_number() OVER w AS position, sum(CAST(ceil(octet_length(encode(block)) / 4.0) AS BIGINT)) OVER w AS used FROM g
+            ELSE concat('[private note: ', coalesce(title, ''), ']') END AS block FROM f JOIN tier t ON t.id = f.node_id WHERE k = 1 AND deleted_at IS NULL AND NOT is_archived AND effective_tier IN ('open', 'locked')),
+        c AS (SELECT session_id, node_id, policy, block, CAST(ceil(octet_length(encode(block)) / 4.0) AS BIGINT) AS tokens, row_number() OVER w AS position, sum(CAST(ceil(octet_length(encode(block)) / 4.0) AS BIGINT)) OVER w AS used FROM g
             WINDOW w AS (PARTITION BY session_id ORDER BY sent NULLS FIRST, row_id, position, node_id ROWS UNBOUNDED PRECEDING))
-        SELECT session_id, position, node_id, policy, tokens, used FROM c WHERE used <= 2000""",
+        SELECT session_id, position, node_id, policy, least(tokens, 8000) AS tokens, least(used, 8000) AS used,
+            CASE WHEN used <= 8000 THEN block ELSE substring(block, 1, (SELECT max(i) FROM range(8000, 32001) t(i) WHERE octet_length(encode(substring(block, 1, i))) <= 32000)) END AS text
+        FROM c WHERE used <= 8000 OR position = 1""",
     "session_totals": f"""WITH {_MSG}, s AS (SELECT id, max(message_count) AS claimed FROM sessions WHERE id IS NOT NULL GROUP BY id), m AS (SELECT session_id, count(*) AS n, count(*) FILTER (speaker = 'user') AS a, min(sent) AS f, max(sent) AS l FROM msg GROUP BY session_id)
         SELECT id, claimed, coalesce(n, 0) AS messages, coalesce(a, 0) AS asked, CAST(floor(epoch(l)) - floor(epoch(f)) AS BIGINT) AS seconds FROM s LEFT JOIN m ON m.session_id = s.id""",
     "empty_sessions": f"""WITH {_MSG}, s AS (SELECT id, max(started_at) AS started_at FROM sessions WHERE id IS NOT NULL GROUP BY id), e AS (SELECT * FROM s WHERE id NOT IN (SELECT session_id FROM msg WHERE session_id IS NOT NULL))
@@ -469,8 +472,7 @@ def session_scopes(spark, d):
 
 
 def session_sources(spark, d):
-    r = history.references(_messages(spark, d))
-    return r.groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_set("node_id")), " ").alias("nodes"))
+    return history.references(_messages(spark, d)).select("session_id", "node_id").distinct()
 
 
 def title_completion(spark, d):
@@ -547,7 +549,7 @@ SQL |= {
     "node_languages": f"WITH {_CUR} SELECT coalesce(CASE WHEN json_valid(meta) THEN meta ->> 'lang' END, 'unknown') AS lang, count(*) AS nodes, count(*) FILTER (meta IS NULL) AS without_meta FROM cur GROUP BY 1",
     "session_scopes": f"""WITH {_BOX}, s AS (SELECT DISTINCT id, scope_json FROM sessions WHERE id IS NOT NULL AND json_valid(scope_json) AND scope_json LIKE '[%'), e AS (SELECT id, unnest(list_distinct(CAST(json(scope_json) AS VARCHAR[]))) AS box FROM s)
         SELECT e.id, count(*) AS scopes, count(*) FILTER (b.id IS NULL) AS missing, ['open', 'local_only', 'locked', 'redacted'][coalesce(max(CASE WHEN b.id IS NOT NULL THEN {_RANK.format('b.privacy_tier')} END), 0) + 1] AS tier FROM e LEFT JOIN box b ON b.id = e.box GROUP BY e.id""",
-    "session_sources": f"WITH {_MSG}, {_REF} SELECT session_id, array_to_string(list_sort(list(DISTINCT node_id)), ' ') AS nodes FROM ref GROUP BY session_id",
+    "session_sources": f"WITH {_MSG}, {_REF} SELECT DISTINCT session_id, node_id FROM ref",
     "title_completion": f"WITH {_CUR} SELECT id, title FROM cur WHERE contains(lower(title), 'how to') AND deleted_at IS NULL ORDER BY title, id LIMIT 8",
     "recent_sessions": "SELECT id, max(started_at) AS started_at FROM sessions WHERE id IS NOT NULL GROUP BY id ORDER BY 2 DESC NULLS LAST, id LIMIT 20",
     "repeated_deliveries": 'SELECT id, count(*) AS "rows", min(row_id) AS "first", max(row_id) AS "last" FROM session_messages WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1',
@@ -563,3 +565,6 @@ SQL |= {
     "reading_order": f"WITH {_TB} SELECT block_id, row_number() OVER (PARTITION BY job_id, page_index ORDER BY floor(y / 15), x, block_id) AS place FROM tb",
     "job_pages": "SELECT job_id, block_type, array_to_string(list_sort(list(DISTINCT page_index)), ',') AS pages FROM ingest_blocks GROUP BY 1, 2",
 }
+
+QUERIES |= documents.QUERIES
+SQL |= documents.SQL
