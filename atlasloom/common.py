@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,9 +47,28 @@ def shared_folder(spark: SparkSession) -> str:
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
+_made: list[str] | None = None
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write inside the block are deleted at its end; results must have been stored by then."""
+    global _made
+    outer, _made = _made, []
+    try:
+        yield
+    finally:
+        paths, _made = _made, outer
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame) -> str:
     """The path of a table of ``df``, new in the shared folder."""
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    if _made is not None:
+        _made.append(path)
     df.write.parquet(path)
     return path
 

@@ -102,7 +102,42 @@ def unfenced(text: Column) -> Column:
 def truncated(text: Column, budget: int) -> Column:
     """The head of ``text`` that fits into ``budget`` estimated tokens: a quarter of the bytes each, cut between characters."""
     most = 4 * budget
-    # a character has up to four bytes: the longest head of whole characters is found by its bytes
-    head = F.decode(F.substring(F.encode(text, "UTF-8"), 1, most), "UTF-8")
-    whole = F.octet_length(text) <= most
-    return F.when(whole, text).otherwise(F.left(text, F.length(F.regexp_replace(head, "\ufffd+$", ""))))
+    data = F.encode(text, "UTF-8")
+    # bytes that begin a character, two hexadecimal digits each; one that goes on behind the cut is left out
+    starts = F.length(F.regexp_replace(F.hex(F.substring(data, 1, most)), "([0-7C-F][0-9A-F])|[89AB][0-9A-F]", "$1")) / 2
+    goes_on = F.hex(F.substring(data, most + 1, 1)).rlike("^[89AB]")
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.left(text, (starts - F.when(goes_on, 1).otherwise(0)).cast("int")))
+
+
+#: Words whose period ends no sentence.
+ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Sr", "Jr", "St", "vs", "etc", "Inc", "Ltd", "No")
+
+
+def summary_head(text: Column, least: int) -> Column:
+    """``text`` up to the first end of a sentence at or after ``least`` characters, all of it without one; periods of abbreviations end none."""
+    held = F.regexp_replace(text, rf"(^|\s)({'|'.join(ABBREVIATIONS)}|[A-Z]{{1,2}})\.", "$1$2\x01")
+    head = F.regexp_extract(held, rf"^((?s:.{{{max(0, least - 1)},}}?)[.?!])", 1)
+    return F.replace(F.when(head == "", held).otherwise(head), F.lit("\x01"), F.lit("."))
+
+
+def boilerplate(line: Column) -> Column:
+    """Whether a trimmed line is too short to say anything, has no letter, or is a usual label of a page's head."""
+    return (F.length(line) < 4) | F.lower(line).rlike(r"^(due:|name:|student:|page )|due date") | ~line.rlike(r"\p{L}")
+
+
+def content_line(text: Column, most: int = 80) -> Column:
+    """The first line of ``text`` that says something, cut with dots beyond ``most`` characters; null without one."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    line = F.get(F.filter(lines, lambda x: ~boilerplate(x)), F.lit(0))
+    return F.when(F.length(line) > most, F.concat(F.left(line, F.lit(most - 3)), F.lit("..."))).otherwise(line)
+
+
+def without_count(title: Column) -> Column:
+    """A title without the '(2/5)' behind it."""
+    return F.regexp_replace(title, r"\s*\(\d+(?:/\d+)?\)\s*$", "")
+
+
+def local_endpoint(url: Column) -> Column:
+    """Whether a URL leads to this machine: localhost or a loopback address; null and malformed ones don't."""
+    host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/]*@)?(\[[^\]]*\]|[^/:?#]*)", 1))
+    return (host == "localhost") | host.rlike(r"^127\.\d{1,3}\.\d{1,3}\.\d{1,3}$") | (host == "[::1]")

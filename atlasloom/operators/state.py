@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import newest
@@ -44,7 +46,7 @@ def difference(old: DataFrame, new: DataFrame, key: str, columns: list[str]) ->
 
 def history_changes(nodes: DataFrame) -> DataFrame:
     """(id, version, changed): what each version of a node changed against the one before; repeated rows count once."""
-    one = nodes.dropDuplicates(["id", "version"])
+    one = newest(nodes, ["id", "version"], [])
     w = Window.partitionBy("id").orderBy("version")
     cols = ["title", "summary", "detail", "privacy_tier", "is_archived"]
     lagged = one.select("id", "version", *cols, F.lag("version").over(w).alias("__v"), *[F.lag(c).over(w).alias(f"l_{c}") for c in cols])
@@ -52,8 +54,56 @@ def history_changes(nodes: DataFrame) -> DataFrame:
     return lagged.filter("__v is not null").select("id", "version", F.array_join(names, ",").alias("changed"))
 
 
+def updated(base: DataFrame, changes: DataFrame, columns: list[str], content: list[str]) -> DataFrame:
+    """``base`` (id, version, ..) after partial updates: non-null values of ``changes`` (id, columns..) count, ``version`` grows by one.
+
+    ``reembed`` says whether a column of ``content`` changed; rows without a change keep their version. One row per id in both.
+    """
+    new = changes.select(F.col("id").alias("__id"), *[F.col(c).alias(f"__{c}") for c in columns], F.lit(True).alias("__hit"))
+    j = base.join(new, base["id"] == new["__id"], "left")
+    after = {c: F.coalesce(f"__{c}", c) for c in columns}
+    differs = lambda names: functools.reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(after[c]) for c in names], F.lit(False))
+    changed = F.coalesce("__hit", F.lit(False)) & differs(columns)
+    kept = [after[c].alias(c) if c in after else (F.col("version") + F.when(changed, 1).otherwise(0)).alias("version") if c == "version" else F.col(c) for c in base.columns]
+    return j.select(*kept, (changed & differs([c for c in columns if c in content])).alias("reembed"))
+
+
+def truncated(messages: DataFrame, edits: DataFrame) -> DataFrame:
+    """``messages`` (session_id, row_id, sent, content, ..) after ``edits`` (session_id, row_id, content), one per session: the message gets the new text, those behind it go.
+
+    The edited messages are one narrow row per session, so sessions of any size stay dealt as they are.
+    """
+    at = edits.select("session_id", "row_id", "content").join(messages.select("session_id", "row_id", "sent"), ["session_id", "row_id"])
+    at = at.select(F.col("session_id").alias("__s"), F.col("row_id").alias("__r"), F.col("sent").alias("__at"), F.col("content").alias("__text"))
+    j = messages.join(at, messages["session_id"] == at["__s"], "left")
+    behind = F.coalesce((F.col("sent") > F.col("__at")) | (F.col("sent").eqNullSafe(F.col("__at")) & (F.col("row_id") > F.col("__r"))), F.lit(False))
+    edited = F.coalesce(F.col("row_id") == F.col("__r"), F.lit(False))
+    return j.filter(~behind).select(*[F.when(edited, F.col("__text")).otherwise(F.col("content")).alias("content") if c == "content" else F.col(c) for c in messages.columns])
+
+
+def cascaded(parents: DataFrame, children: DataFrame, gone: DataFrame, key: str, reference: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables without the parents of ``gone`` (key) and without the children that refer to one of them."""
+    dead = gone.select(F.col(key).alias("__gone")).distinct()
+    return parents.join(dead, parents[key] == dead["__gone"], "left_anti"), children.join(dead, children[reference] == dead["__gone"], "left_anti")
+
+
+def as_of(history: DataFrame, asked: DataFrame, key: str, when: str, stamp: str, value: Column, name: str) -> DataFrame:
+    """``asked`` with ``value`` of the row of ``history`` that held at ``when``: the last of the key written at or before it, as ``name``; null before the first.
+
+    The distinct questions (key, when) meet the key's versions, which are few, and go back as one row each.
+    """
+    h = history.select(F.col(key).alias("__k"), F.col(stamp).alias("__at"), value.alias("__v"))
+    q = asked.select(F.col(key).alias("__q"), F.col(when).alias("__when")).distinct()
+    held = q.join(h, (q["__q"] == h["__k"]) & (h["__at"] <= q["__when"])).groupBy("__q", "__when").agg(F.max(F.struct("__at", "__v")).alias("__h"))
+    return asked.join(held, asked[key].eqNullSafe(held["__q"]) & asked[when].eqNullSafe(held["__when"]), "left").select(*[asked[c] for c in asked.columns], F.col("__h.__v").alias(name))
+
+
 def retained(files: DataFrame, most: int, most_bytes: int) -> DataFrame:
-    """Of (name, bytes, made) the newest up to ``most`` files and ``most_bytes`` in all; the newest always stays."""
+    """Of (name, bytes, made) the newest up to ``most`` files and ``most_bytes`` in all; the newest always stays.
+
+    Only the newest ``most`` reach the one window, so it never holds more rows than that.
+    """
+    files = files.orderBy(F.col("made").desc(), "name").limit(most)
     w = Window.orderBy(F.col("made").desc(), "name").rowsBetween(Window.unboundedPreceding, 0)
     k = files.withColumn("__n", F.count("*").over(w)).withColumn("__b", F.sum("bytes").over(w))
     return k.filter((F.col("__n") == 1) | ((F.col("__n") <= most) & (F.col("__b") <= most_bytes))).drop("__n", "__b")

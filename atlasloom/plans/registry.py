@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..common import strip, table
 from ..functions import privacy
 from ..functions import text as tx
-from . import documents
+from . import documents, upkeep
 from ..operators import hierarchy, history, knowledge, pages, similarity, state, usage
 
 
@@ -568,3 +568,5 @@ SQL |= {
 
 QUERIES |= documents.QUERIES
 SQL |= documents.SQL
+QUERIES |= upkeep.QUERIES
+SQL |= upkeep.sql(_CUR, _BOX, _MSG, _REF, _CHUNK, _tier(False), _words, _RANK)

@@ -10,7 +10,7 @@ from atlasloom.plans import registry
 D = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
 #: These run blocks in pandas, or loop over written tables.
-OTHER = {"vector_join", "word_set_join", "p2_found", "p2_paths", "p2_descendants", "container_paths"}
+OTHER = {"vector_join", "word_set_join", "p2_found", "p2_paths", "p2_descendants", "container_paths", "block_chunks", "chunk_titles"}
 
 
 def plan(spark, name):
@@ -32,10 +32,12 @@ def test_narrow_scans(spark):
 
 
 def test_entry_without_the_text_operators(monkeypatch):
-    import importlib.util
+    import importlib
 
     import __spark_entry__ as e
 
-    real = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda n, *a: None if n.startswith("atlasloom.llm") else real(n, *a))
+    def broken(name, *a):
+        raise ImportError(name)
+
+    monkeypatch.setattr(importlib, "import_module", broken)
     assert set(e.queries()) == set(registry.QUERIES) and set(e.oracle_sql()) <= set(e.queries())
