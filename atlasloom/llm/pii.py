@@ -28,6 +28,8 @@ PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]
 
 #: The greatest size of a learnt model, by part: the words with the most evidence stay.
 MOST_GIVEN, MOST_FAMILY, MOST_ENDINGS, MOST_COMMON = 20_000, 100_000, 5_000, 50_000
+#: How often given and family names are learnt from one another.
+ROUNDS = 2
 #: Pairs and words that a task counts before it passes them on.
 HELD = 100_000
 
@@ -516,29 +518,37 @@ def learn(df: DataFrame, text: str) -> Model:
 
     A word is a given name if it leads at least three different pairs of which two or more stood in sure
     contexts, mostly leads pairs there, and isn't mostly written in small letters; a family name if it
-    follows a given name; an ending is one of family names if most of the words with it that follow
-    anything are. Each part is cut to its greatest size by evidence, so the model doesn't grow with the data.
+    follows a given name; an ending is one of family names if most of the words with it are. What is
+    learnt shows more given names: those that mostly lead pairs with family names, known or by their
+    ending. ``ROUNDS`` times over; each part is cut to its greatest size by evidence, so the model doesn't
+    grow with the data.
     """
     from ..common import cut
 
     seen = cut(evidence(df, text))
     words = seen.filter("b is null").select(F.col("a").alias("word"), "low", "high")
-    pairs = seen.filter("b is not null")
-    listed = [g.casefold() for g in GIVEN]
+    pairs = seen.filter("b is not null").select("a", "b", "n", "sure")
     led = pairs.groupBy(F.col("a").alias("word")).agg(F.count("*").alias("pairs"), F.sum("n").alias("n"), F.count_if(F.col("sure") > 0).alias("kinds"), F.sum("sure").alias("sure"))
     after = pairs.groupBy(F.col("b").alias("word")).agg(F.sum("n").alias("behind"))
-    led = led.join(words, "word", "left").join(after, "word", "left").fillna(0)
-    given = led.filter("kinds >= 2 and pairs >= 3 and sure >= 0.2 * n and n >= behind and low <= 2 * n").orderBy(F.col("sure").desc(), "word").limit(MOST_GIVEN)
-    given = cut(given.select("word", "sure"))
-    known = given.select("word").union(df.sparkSession.createDataFrame([(g,) for g in listed], "word string")).distinct()
-    follows = pairs.join(known.withColumnRenamed("word", "a"), "a", "left_semi").groupBy(F.col("b").alias("word")).agg(F.sum(F.greatest("n", "sure")).alias("n"), F.count("*").alias("givens"))
-    names = follows.join(words, "word", "left").join(known, "word", "left_anti").filter("low <= high and length(word) >= 3")
-    family = cut(names.select("word", "n", "givens"))
-    # endings: of words seen capitalised, how many are family names
-    ends = lambda d: d.select(F.explode(F.array(F.right("word", F.lit(3)), F.right("word", F.lit(4)))).alias("end"), F.length("word").alias("size")).filter("size >= 5 and length(end) >= 3")
-    of_names = ends(family).groupBy("end").agg(F.count("*").alias("names"))
-    of_all = ends(words.filter("high > 0")).groupBy("end").agg(F.count("*").alias("words"))
-    endings = of_names.join(of_all, "end").filter("names >= 5 and names >= 0.5 * words").orderBy(F.col("names").desc(), "end").limit(MOST_ENDINGS)
+    led = cut(led.join(words, "word", "left").join(after, "word", "left").fillna(0))
+    likely = led.filter("n >= behind and low <= 2 * n")
+    given = cut(likely.filter("kinds >= 2 and pairs >= 3 and sure >= 0.2 * n").select("word", "sure"))
+    listed = df.sparkSession.createDataFrame([(g.casefold(),) for g in GIVEN], "word string")
+    ends = lambda d: d.select("word", F.explode(F.array(F.right("word", F.lit(3)), F.right("word", F.lit(4)))).alias("end")).filter("length(word) >= 5")
+    of_all = cut(ends(words.filter("high > 0")).groupBy("end").agg(F.count("*").alias("words")))
+    for _ in range(ROUNDS):
+        known = given.select("word").union(listed).distinct()
+        follows = pairs.join(known.withColumnRenamed("word", "a"), "a", "left_semi").groupBy(F.col("b").alias("word")).agg(F.sum(F.greatest("n", "sure")).alias("n"))
+        family = cut(follows.join(words, "word", "left").join(known, "word", "left_anti").filter("low <= high and length(word) >= 3").select("word", "n"))
+        # endings: of the words seen capitalised, how many are family names
+        of_names = ends(family).groupBy("end").agg(F.count("*").alias("names"))
+        endings = cut(of_names.join(of_all, "end").filter("names >= 5 and names >= 0.5 * words").orderBy(F.col("names").desc(), "end").limit(MOST_ENDINGS))
+        alike = ends(pairs.select(F.col("b").alias("word")).distinct()).join(endings, "end", "left_semi").select("word").union(family.select("word")).distinct()
+        with_name = pairs.join(alike.withColumnRenamed("word", "b"), "b", "left_semi").groupBy(F.col("a").alias("word")).agg(F.count("*").alias("named"), F.sum("n").alias("of"))
+        # what stands before given names is a word like 'yesterday'
+        before = pairs.join(known.withColumnRenamed("word", "b"), "b", "left_semi").groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("ahead"))
+        more = likely.join(with_name, "word").join(before, "word", "left").filter("named >= 2 and of >= 0.5 * n and low <= n and coalesce(ahead, 0) <= 0.2 * n").select("word", F.col("named").alias("sure"))
+        given = cut(given.union(more).groupBy("word").agg(F.max("sure").alias("sure")).join(listed, "word", "left_anti").filter("length(word) >= 2").orderBy(F.col("sure").desc(), "word").limit(MOST_GIVEN))
     common = words.filter("low >= 3 and low > high").orderBy(F.col("low").desc(), "word").limit(MOST_COMMON)
     family = family.orderBy(F.col("n").desc(), "word").limit(MOST_FAMILY)
     part = lambda d, c: frozenset(r[0] for r in d.select(c).collect())
