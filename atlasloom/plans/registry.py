@@ -25,7 +25,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_paths(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.hierarchy(_links(spark, d)).select("id", "root_id", "depth", "state", "path", "subtree")
+    """Every id with its path from the root as one line, and how many rows hang below it."""
+    tree = hierarchy.hierarchy(_links(spark, d))
+    return tree.select("id", "root_id", "depth", "state", F.array_join("path", "/").alias("path"), "subtree")
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
@@ -50,6 +52,15 @@ SQL = {
     SELECT id, root_id, CAST(depth AS BIGINT) AS depth, CASE WHEN lost THEN 'orphan' ELSE 'tree' END AS state FROM down
     UNION ALL SELECT id, root_id, CAST(depth AS BIGINT), CASE WHEN id IN (SELECT id FROM ring) THEN 'cycle' ELSE 'below_cycle' END FROM below
     """,
+    "p2_paths": _LINKS
+    + """
+    , pairs AS (SELECT up AS id, id AS descendant_id FROM link WHERE up IS NOT NULL AND id NOT IN (SELECT id FROM ring)
+        UNION ALL SELECT l.up, p.descendant_id FROM pairs p JOIN link l ON l.id = p.id WHERE l.up IS NOT NULL AND p.id NOT IN (SELECT id FROM ring)),
+    sizes AS (SELECT id, count(*) + 1 AS n FROM pairs GROUP BY id),
+    way AS (SELECT id, id AS path FROM link WHERE up IS NULL OR id IN (SELECT id FROM ring) UNION ALL SELECT l.id, w.path || '/' || l.id FROM link l JOIN way w ON l.up = w.id WHERE l.id NOT IN (SELECT id FROM ring)),
+    found AS (SELECT id, root_id, depth, CASE WHEN lost THEN 'orphan' ELSE 'tree' END AS state FROM down UNION ALL SELECT id, root_id, depth, CASE WHEN id IN (SELECT id FROM ring) THEN 'cycle' ELSE 'below_cycle' END FROM below)
+    SELECT f.id, f.root_id, CAST(f.depth AS BIGINT) AS depth, f.state, w.path, CASE WHEN f.state <> 'cycle' THEN coalesce(s.n, 1) END AS subtree FROM found f JOIN way w ON w.id = f.id LEFT JOIN sizes s ON s.id = f.id
+    """,
     "p2_descendants": _LINKS
     + """
     , pairs AS (SELECT up AS id, id AS descendant_id, 1 AS steps FROM link WHERE up IS NOT NULL AND id NOT IN (SELECT id FROM ring)
