@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import functools
+import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,3 +110,49 @@ def retained(files: DataFrame, most: int, most_bytes: int) -> DataFrame:
     w = Window.orderBy(F.col("made").desc(), "name").rowsBetween(Window.unboundedPreceding, 0)
     k = files.withColumn("__n", F.count("*").over(w)).withColumn("__b", F.sum("bytes").over(w))
     return k.filter((F.col("__n") == 1) | ((F.col("__n") <= most) & (F.col("__b") <= most_bytes))).drop("__n", "__b")
+
+
+#: Words, then lines, that are compared one by one; longer texts are compared by lines, still longer ones as a whole.
+COMPARED = 300
+
+
+def changes(old: str | None, new: str | None, most: int = COMPARED) -> list[tuple[str, str]]:
+    """(kind, text) stretches that turn ``old`` into ``new``: 'same', 'removed' and 'added', with as much the same as can be."""
+    for parts in (lambda t: re.findall(r"\S+", t or ""), lambda t: (t or "").splitlines()):
+        a, b = parts(old), parts(new)
+        if len(a) <= most and len(b) <= most:
+            break
+    else:
+        a, b = [old or ""], [new or ""]
+    # the longest common subsequence of what follows each pair of places
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            table[i][j] = table[i + 1][j + 1] + 1 if a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(a) or j < len(b):
+        if i < len(a) and j < len(b) and a[i] == b[j]:
+            out.append(("same", a[i]))
+            i, j = i + 1, j + 1
+        elif i < len(a) and (j == len(b) or table[i + 1][j] >= table[i][j + 1]):
+            out.append(("removed", a[i]))
+            i += 1
+        else:
+            out.append(("added", b[j]))
+            j += 1
+    return out
+
+
+def text_changes(df: DataFrame, keys: list[str], old: str, new: str) -> DataFrame:
+    """(keys.., place, kind, text): the changes of each pair of texts in order; null counts as empty, equal keys repeat."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["c"] = [changes(o, n) for o, n in zip(b["__old"], b["__new"])]
+            e = b[[*keys, "c"]].explode("c").dropna(subset=["c"])
+            e["place"] = e.groupby(level=0).cumcount()
+            e["kind"], e["text"] = e["c"].str[0], e["c"].str[1]
+            yield e[[*keys, "place", "kind", "text"]]
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return df.select(*keys, F.col(old).alias("__old"), F.col(new).alias("__new")).mapInPandas(run, f"{kinds}, place int, kind string, text string")

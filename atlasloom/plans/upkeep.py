@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..common import table
 from ..functions import marks, priority, privacy
 from ..functions import text as tx
-from ..operators import history, knowledge, pages, state
+from ..operators import history, knowledge, pages, similarity, state
 from . import documents
 
 NEW_YEAR = "2026-01-01"
@@ -97,6 +98,25 @@ def version_similarity(spark, d):
 # ---- changes ------------------------------------------------------------------------------------
 
 
+def version_diffs(spark, d):
+    """What each version's summary changed against the one before, in words: kept, removed and added ones."""
+    n = state.last_write(table(spark, d, "nodes").select("id", "version", "summary", "updated_at"), ["id", "version"], "updated_at", ("summary",))
+    w = Window.partitionBy("id").orderBy("version")
+    both = n.select("id", "version", "summary", F.lag("summary").over(w).alias("old"), F.lag("version").over(w).alias("before")).filter("before is not null")
+    c = state.text_changes(both, ["id", "version"], "old", "summary").groupBy("id", "version").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("same", "removed", "added")])
+    # how many stay the same has no SQL; both sums are the texts' words
+    return c.select("id", "version", (F.col("same") + F.col("removed")).alias("words_before"), (F.col("same") + F.col("added")).alias("words"))
+
+
+def node_neighbours(spark, d):
+    """For every node whose number is divisible by 50, by its first primary vector, the ten nearest of all others."""
+    live = _nodes(spark, d).filter("deleted_at is null and not is_archived").select("id")
+    c = _chunks(spark, d).filter((F.col("model") == MODEL) & (F.col("chunk_type") == "primary") & (F.col("chunk_index") == 0)).select(F.col("node_id").alias("id"), "embedding")
+    rows = c.join(live, "id", "left_semi")
+    asked = rows.filter(F.conv(F.right("id", F.lit(8)), 16, 10).cast("bigint") % 50 == 0)
+    return similarity.nearest_join(asked, rows, 10).select("query_id", "id", "place", F.round("similarity", 6).alias("similarity"))
+
+
 def partial_updates(spark, d):
     """Archived nodes get a mark in their title, the others keep all: version and whether to embed anew."""
     n = _nodes(spark, d).select("id", "version", "title", "summary", "is_archived")
@@ -257,7 +277,7 @@ QUERIES = {
     for f in (
         stale_reasons, reembed_queue, pooled_vectors, primary_pieces, version_similarity, partial_updates, merged_snapshot, soft_deletes, without_archived, merged_meta, touched_nodes, edited_sessions,
         kept_messages, profile_changes, wikilinks, live_backlinks, extractable_sessions, document_hits, sparse_pages, job_confidence, session_tokens, chunk_titles, summary_heads, block_markdown,
-        text_hygiene, steering_texts,
+        text_hygiene, steering_texts, version_diffs, node_neighbours,
     )
 }
 
@@ -277,6 +297,12 @@ def sql(cur: str, box: str, msg: str, ref: str, chunk: str, tier: str, words, ra
                 (SELECT {rank.format('privacy_tier')} FROM box b WHERE b.id = n.vault_id) AS nv, (SELECT {rank.format('privacy_tier')} FROM box b WHERE b.id = n.sub_vault_id) AS ns
                 FROM chunk c LEFT JOIN cur n ON n.id = c.node_id)
             SELECT model, count(*) AS vectors, count(*) FILTER (NOT lost AND now IS DISTINCT FROM held) AS by_content, count(*) FILTER ((v IS NOT NULL AND v <> nv) OR (s IS NOT NULL AND s <> ns)) AS by_tier, count(*) FILTER (lost) AS lost FROM k GROUP BY model""",
+        "version_diffs": """WITH v AS (SELECT id, version, coalesce(summary, '') AS s FROM nodes WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id, version ORDER BY updated_at DESC NULLS LAST, summary) = 1),
+            l AS (SELECT id, version, s, lag(s) OVER (PARTITION BY id ORDER BY version) AS o FROM v)
+            SELECT id, version, len(regexp_extract_all(o, '\\S+')) AS words_before, len(regexp_extract_all(s, '\\S+')) AS words FROM l WHERE o IS NOT NULL AND (o <> '' OR s <> '')""",
+        "node_neighbours": f"""WITH {cur}, {chunk}, r AS (SELECT node_id AS id, embedding AS e FROM chunk WHERE model = '{MODEL}' AND chunk_type = 'primary' AND chunk_index = 0 AND embedding IS NOT NULL AND node_id IN (SELECT id FROM cur WHERE deleted_at IS NULL AND NOT is_archived)),
+            j AS (SELECT q.id AS query_id, r.id, coalesce(list_cosine_similarity(list_transform(q.e, lambda z: CAST(z AS DOUBLE)), list_transform(r.e, lambda z: CAST(z AS DOUBLE))), 0) AS s FROM r q JOIN r ON r.id <> q.id AND len(r.e) = len(q.e) WHERE CAST('0x' || right(q.id, 8) AS BIGINT) % 50 = 0)
+            SELECT query_id, id, place, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, id) AS place FROM j) WHERE place <= 10""",
         "reembed_queue": f"""WITH {cur} SELECT id, updated_at FROM cur WHERE deleted_at IS NULL AND NOT is_archived
             AND id NOT IN (SELECT node_id FROM node_chunks WHERE model = '{MODEL}' AND chunk_type = 'primary' AND chunk_index = 0 AND embedding IS NOT NULL AND node_id IS NOT NULL)""",
         "pooled_vectors": f"""WITH {chunk}, e AS (SELECT node_id, model, unnest(range(len(embedding))) AS axis, unnest(embedding) AS v FROM chunk WHERE len(embedding) > 0),

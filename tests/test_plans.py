@@ -10,7 +10,7 @@ from atlasloom.plans import registry
 D = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
 #: These run blocks in pandas, or loop over written tables.
-OTHER = {"vector_join", "word_set_join", "p2_found", "p2_paths", "p2_descendants", "container_paths", "block_chunks", "chunk_titles"}
+OTHER = {"vector_join", "word_set_join", "p2_found", "p2_paths", "p2_descendants", "container_paths", "block_chunks", "chunk_titles", "version_diffs", "node_neighbours"}
 
 
 def plan(spark, name):

@@ -80,3 +80,24 @@ def test_as_of(spark):
     q = spark.createDataFrame([("a", 0, 1), ("a", 4, 2), ("a", 4, 3), ("a", 9, 4), ("b", 3, 5), ("c", 1, 6), (None, 1, 7), ("a", None, 8)], "id string, t int, no int")
     got = {r.no: r.was for r in state.as_of(h, q, "id", "t", "at", F.col("v"), "was").collect()}
     assert got == {1: None, 2: "x", 3: "x", 4: "z", 5: None, 6: None, 7: None, 8: None}
+
+
+def test_changes(spark):
+    rnd = random.Random(2)
+
+    def longest(a, b):
+        if not a or not b:
+            return 0
+        return longest(a[1:], b[1:]) + 1 if a[0] == b[0] else max(longest(a[1:], b), longest(a, b[1:]))
+
+    for _ in range(60):
+        a, b = ([rnd.choice("xyz") for _ in range(rnd.randint(0, 7))] for _ in range(2))
+        c = state.changes(" ".join(a), " ".join(b))
+        assert [t for k, t in c if k != "added"] == a and [t for k, t in c if k != "removed"] == b
+        assert sum(k == "same" for k, _ in c) == longest(a, b)
+    lines = "\n".join("w " * 40 for _ in range(20))
+    assert state.changes(lines, lines + "\nnew") == [("same", "w " * 40)] * 20 + [("added", "new")]
+    assert state.changes("a\n" * 400, "b") == [("removed", "a\n" * 400), ("added", "b")]
+    df = spark.createDataFrame([("k", "a b", "b c"), ("n", None, None), ("n", None, "x")], "id string, o string, n string")
+    got = [(r.id, r.place, r.kind, r.text) for r in state.text_changes(df, ["id"], "o", "n").orderBy("id", "place").collect()]
+    assert got == [("k", 0, "removed", "a"), ("k", 1, "same", "b"), ("k", 2, "added", "c"), ("n", 0, "added", "x")]
