@@ -97,8 +97,8 @@ def prepared(df: DataFrame) -> DataFrame:
     return df.withColumn("opened", opened).select(
         *df.columns,
         F.regexp_extract_all("opened", F.lit(WORD), F.lit(0)).alias("words"),
-        some(marked, r"(?<!\p{L})\p{L}++(?:[-‐]\p{L}++)+", F.lower("opened")).alias("compounds"),
-        some(marked, rf"(?<!\S)\S*\p{{L}}[{MARKS}][ \t]*\r?\n[ \t]*[\p{{L}}|!0-9]\S*").alias("breaks"),
+        some(text.rlike(r"\p{L}[-‐]\p{L}"), r"(?<!\p{L})\p{L}++(?:[-‐]\p{L}++)+", F.lower("opened")).alias("compounds"),
+        some(text.rlike(rf"[{MARKS}][ \t]*\r?\n"), rf"(?<!\S)\S*\p{{L}}[{MARKS}][ \t]*\r?\n[ \t]*[\p{{L}}|!0-9]\S*").alias("breaks"),
         F.regexp_extract(text, r"^[ \t]*([^\r\n]*)", 1).alias("line"),
         looks.alias("looks_number"),
         F.when(looks, F.trim(text)).alias("short"),
@@ -243,13 +243,14 @@ def running_headers(lay: DataFrame) -> DataFrame:
     whether it stands on two. A line counts with the forms of its strokes that lack one, so a misreading
     beyond the folding still meets the others; only lines that share a third with another page's have to.
     """
-    lines = lay.filter("outer and not looks_number").select("block_id", "job_id", "page_index", "line", _header_key(F.col("line")).alias("key")).filter(F.length("key") >= 4)
+    outer = lay.filter("outer and not looks_number").select("block_id", "job_id", "page_index", "line", _header_key(F.col("line")).alias("key"))
+    lines = cut(outer).filter(F.length("key") >= 4)
     span = (F.min("page_index").alias("lo"), F.max("page_index").alias("hi"))
     wider = (F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     keys = lines.groupBy("job_id", "key").agg(*span)
     thirds = keys.select("job_id", "key", "lo", "hi", F.explode(_stretches(F.col("key"))).alias("part"))
     shared = thirds.groupBy("job_id", "part").agg(*wider).filter("lo < hi").select("job_id", "part")
-    near = thirds.join(shared, ["job_id", "part"], "left_semi").select("job_id", "key", "lo", "hi").distinct()
+    near = cut(thirds.join(shared, ["job_id", "part"], "left_semi").select("job_id", "key", "lo", "hi").distinct())
     forms = F.when(F.length("key") >= 10, _deletes(F.col("key"))).otherwise(F.array(F.xxhash64("key")))
     seen = near.select("job_id", "key", "lo", "hi", F.explode(forms).alias("form"))
     often = seen.groupBy("job_id", "form").agg(*wider).filter("lo < hi").select("job_id", "form")
