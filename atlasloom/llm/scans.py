@@ -435,7 +435,8 @@ def whole(rows: DataFrame) -> DataFrame:
     """
     keys = ["page_index", "block_index", "block_id"]
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = cut(rows.repartitionByRange(n, "job_id", *keys).withColumn("part", F.spark_partition_id()))
+    # ranges are found by a look at the rows, which would repair them twice
+    dealt = cut(cut(rows).repartitionByRange(n, "job_id", *keys).withColumn("part", F.spark_partition_id()))
     starts = F.when(F.col("goes_on"), 0).otherwise(1)
     ranges = dealt.groupBy("job_id", "part").agg(F.sum(starts).alias("starts"))
     earlier = Window.partitionBy("job_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
