@@ -94,6 +94,8 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return state.last_write(c, ["node_id", "chunk_type", "chunk_index", "model"], "written", ("text", "embedding"))
 
 
+#: Fixed value: characters of a summary at import.
+LONGEST_SUMMARY = 120
 #: A fixed question to search by, in the space of the stored vectors.
 ASKED = [0.4, -0.1, 0.3, 0.2, -0.5, 0.1, 0.6, -0.2]
 
@@ -145,9 +147,12 @@ def summary_overlap(spark, d):
 
 
 def chunk_integrity(spark, d):
-    n = _nodes(spark, d).select(F.col("id").alias("node_id"), "detail")
+    """Whether a stored piece is held by its node's detail, whatever the line ends, and whether the node's summary is too long for an import."""
+    plain = lambda c: F.regexp_replace(c, "\\r\\n?", "\n")
+    n = _nodes(spark, d).select(F.col("id").alias("node_id"), "detail", F.coalesce(F.length("summary") > LONGEST_SUMMARY, F.lit(False)).alias("long_summary"))
     c = _chunks(spark, d).filter("chunk_type = 'detail'").select("node_id", "chunk_index", "model", "text")
-    return c.join(n, "node_id").select("node_id", "chunk_index", "model", F.coalesce(F.contains("detail", "text"), F.lit(False)).alias("held"))
+    held = F.coalesce(F.contains(plain(F.col("detail")), plain(F.col("text"))), F.lit(False))
+    return c.join(n, "node_id").select("node_id", "chunk_index", "model", held.alias("held"), "long_summary")
 
 
 def stale_vectors(spark, d):
@@ -386,7 +391,7 @@ SQL |= {
         SELECT q.id, b.o AS best_id, round(b.s, 9) AS similarity, CASE WHEN b.s > 0.85 THEN 'update' WHEN b.s >= 0.5 THEN 'flag' ELSE 'new' END AS class FROM q LEFT JOIN b ON b.id = q.id AND b.k = 1""",
     "summary_overlap": f"""WITH {_CUR}, w AS (SELECT id, {_words('summary')} AS a, {_words('detail')} AS b FROM cur), c AS (SELECT *, len(list_intersect(a, b)) AS i FROM w)
         SELECT id, round(CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE i / (len(a) + len(b) - i) END, 9) AS overlap FROM c""",
-    "chunk_integrity": f"WITH {_CUR}, {_CHUNK} SELECT c.node_id, c.chunk_index, c.model, coalesce(contains(n.detail, c.text), false) AS held FROM chunk c JOIN cur n ON n.id = c.node_id WHERE c.chunk_type = 'detail'",
+    "chunk_integrity": f"WITH {_CUR}, {_CHUNK} SELECT c.node_id, c.chunk_index, c.model, coalesce(contains(regexp_replace(n.detail, '\\r\\n?', chr(10), 'g'), regexp_replace(c.text, '\\r\\n?', chr(10), 'g')), false) AS held, coalesce(length(n.summary) > 120, false) AS long_summary FROM chunk c JOIN cur n ON n.id = c.node_id WHERE c.chunk_type = 'detail'",
     "stale_vectors": f"""WITH {_CUR}, {_CHUNK} SELECT c.model, count(*) AS vectors, count(*) FILTER (n.updated_at > CAST(c.written AT TIME ZONE 'UTC' AS TIMESTAMP)) AS stale, count(*) FILTER (n.updated_at IS NULL) AS lost
         FROM chunk c LEFT JOIN cur n ON n.id = c.node_id GROUP BY c.model""",
     "chunk_chain": f"""WITH {_CHUNK}, l AS (SELECT node_id, chunk_type, model, chunk_index, lead(chunk_index) OVER (PARTITION BY node_id, chunk_type, model ORDER BY chunk_index) AS next_index FROM chunk)
