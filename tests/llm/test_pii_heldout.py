@@ -79,9 +79,49 @@ Ping @maria about the release.
 Vitamin D. Sources are listed below.
 """
 
+#: Written after the rules and left as they came out.
+FRESH = """
+The plumber, «Gregory Hall», comes on Friday.
+«Ingrid Sørensen» wrote that the boat is ready.
+Dear «Laura Bianchi», the parcel has arrived.
+We interviewed «Samuel Okafor» last week.
+Prof. «Heinrich Vogel» retires in June.
+Name: «Yasmin Farouk»
+«Nicole Tremblay» («514-555-0168») is our contact.
+«Barbara Jones» and «Kevin Lee» share a desk.
+Signed: «Matteo Ferri»
+Ask «Charlotte Dubois» about the keys.
+My neighbour «Dorothy Price» feeds the cat.
+Ms. «Eun-ji Park» joined the call.
+«David Cohen» lives at «18 Oak Crescent».
+Herr «Jürgen Krause» wohnt in der «Bergstraße 5».
+Sra. «Lucía Fernández» firmó ayer.
+«Михаил Кузнецов» позвонил утром.
+Client: «Aaliyah Robinson»
+«Stephen King» wrote it in a summer.
+«Amanda Clark» replied at once.
+Thanks to «Piotr Zieliński» for the photos.
+Send it to «9 Willow Way», Bath.
+Elle habite «27 avenue Foch», Paris.
+«Rua Augusta, 1200», São Paulo.
+Reach me at «+33 6 12 34 56 78».
+Text «415-555-0133» tonight.
+Contact «maria.rossi@posta.example».
+Tax ID «529.982.247-25» is hers.
+Her SSN «212-34-5678» leaked.
+The Northern Lights were bright on Friday.
+Green Valley Farm sells honey.
+Version 3.2.1 fixes the Login Page.
+Meet at Central Station at noon.
+Invoice 2024-00123 is paid.
+The River Thames is long.
+Plan C. Alternatives are few.
+Big Data Conference 2025 was fun.
+"""
+
 
-def _cases():
-    for line in HELD.strip().splitlines():
+def _cases(sentences):
+    for line in sentences.strip().splitlines():
         want, text = set(), ""
         for part in re.split("([«»])", line):
             if part == "«":
@@ -91,10 +131,17 @@ def _cases():
         yield text, want
 
 
-def test_recall_and_precision():
-    """By the first character, without a learnt model: from the listed names, shapes and contexts alone."""
+def _measured(sentences):
     true = found = both = 0
-    for text, want in _cases():
+    for text, want in _cases(sentences):
         got = {s.start for s in pii.spans(text)}
         true, found, both = true + len(want), found + len(got), both + len(want & got)
+    return true, found, both
+
+
+def test_recall_and_precision():
+    """By the first character, without a learnt model: from the listed names, shapes and contexts alone."""
+    true, found, both = _measured(HELD)
     assert true >= 60 and both / true >= 0.9 and both / found >= 0.9, (true, found, both)
+    true, found, both = _measured(FRESH)
+    assert true >= 30 and both / true >= 0.9 and both / found >= 0.9, (true, found, both)
