@@ -272,8 +272,7 @@ def page_bands(spark, d):
 
 
 def _boxed(spark, d):
-    t = table(spark, d, "text_blocks").select("block_id", "job_id", "page_index", "block_index", F.col("bbox.x").alias("x"), F.col("bbox.y").alias("y"), F.col("bbox.width").alias("width"), F.col("bbox.height").alias("height"))
-    return t.distinct()
+    return documents.boxed(spark, d)
 
 
 def page_medians(spark, d):
@@ -289,11 +288,11 @@ def uncovered_blocks(spark, d):
 
 
 def page_markdown(spark, d):
-    return pages.joined(table(spark, d, "ingest_blocks").select("block_id", "job_id", "page_index", "block_index", "block_type", "formatted_text").distinct())
+    return pages.joined(documents.ingested(spark, d).select("block_id", "job_id", "page_index", "block_index", "block_type", "formatted_text"))
 
 
 def job_totals(spark, d):
-    j = pages.jobs(table(spark, d, "ingest_blocks").distinct())
+    j = pages.jobs(documents.ingested(spark, d))
     return j.withColumn("confidence", F.round("confidence", 9))
 
 
@@ -522,7 +521,7 @@ def node_sizes(spark, d):
     m = table(spark, d, "embedding_models").select("model", "chunk_max_tokens")
     n = _nodes(spark, d).select(tx.estimate(F.col("detail")).alias("tokens"))
     sizes = n.groupBy("tokens").agg(F.count("*").alias("nodes"))  # few sizes, so the models meet sizes, not nodes
-    j = sizes.join(F.broadcast(m), sizes["tokens"] > m["chunk_max_tokens"], "inner")
+    j = sizes.join(m, sizes["tokens"] > m["chunk_max_tokens"], "inner")
     return j.groupBy("model").agg(F.sum("nodes").alias("too_large"), F.sum(F.col("nodes") * F.ceil(F.col("tokens") / F.col("chunk_max_tokens"))).alias("least_pieces"))
 
 
