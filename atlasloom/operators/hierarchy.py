@@ -55,7 +55,11 @@ def _peel(left: DataFrame, with_path: bool) -> DataFrame:
     above = left.select(F.col("no").alias("up"), *[F.col(c).alias(f"a_{c}") for c in ("up", "kids", "steps", "size", *way)])
     seen = left.join(above, "up", "left")
     leaf = F.col("kids") == 0
-    ok = (F.col("kids") > 0) & (F.col("a_kids") == 1) & F.col("a_up").isNotNull() & (F.col("a_up") != F.col("up")) & (F.col("up") != F.col("no")) & (_draw("up") < _draw("a_up")) & ((F.col("kids") != 1) | (_draw("up") < _draw("no")))
+    # the parent has this child alone and isn't the top; of neighbours the one with the least draw goes
+    middle = (F.col("kids") > 0) & (F.col("a_kids") == 1) & F.col("a_up").isNotNull()
+    no_circle_of_its_own = (F.col("a_up") != F.col("up")) & (F.col("up") != F.col("no"))
+    least = (_draw("up") < _draw("a_up")) & ((F.col("kids") != 1) | (_draw("up") < _draw("no")))
+    ok = middle & no_circle_of_its_own & least
     seen = seen.withColumn("splice", F.coalesce(ok, F.lit(False)))
     splice = F.col("splice")
     own = [
@@ -109,8 +113,14 @@ def hierarchy(links: DataFrame, with_path: bool = True) -> DataFrame:
     linked = base.join(above, "parent", "left").select("no", "up", (F.col("up").isNull() & F.col("parent").isNotNull()).cast("bigint").alias("lost"), *(["id"] if with_path else []))
     null, text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
     way = lambda c: [c.alias("id")] if with_path else []
-    both = F.array(F.struct("no", "up", "lost", F.lit(0).cast("bigint").alias("kid"), *way(F.col("id") if with_path else text)), F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("no"), null.alias("up"), null.alias("lost"), F.lit(1).cast("bigint").alias("kid"), *way(text))))
-    start = linked.select(F.explode(F.filter(both, lambda e: e.isNotNull())).alias("e")).select("e.*").groupBy("no").agg(F.max("up").alias("up"), F.max("lost").alias("lost"), F.sum("kid").alias("kids"), *([F.max("id").alias("id")] if with_path else []))
+    # every row tells itself what it is, and its parent that it has a child
+    zero = F.lit(0).cast("bigint")
+    itself = F.struct("no", "up", "lost", zero.alias("kid"), *way(F.col("id") if with_path else text))
+    parent = F.struct(F.col("up").alias("no"), null.alias("up"), null.alias("lost"), F.lit(1).cast("bigint").alias("kid"), *way(text))
+    told = F.filter(F.array(itself, F.when(F.col("up").isNotNull(), parent)), lambda e: e.isNotNull())
+    sums = [F.max("up").alias("up"), F.max("lost").alias("lost"), F.sum("kid").alias("kids")]
+    sums += [F.max("id").alias("id")] if with_path else []
+    start = linked.select(F.explode(told).alias("e")).select("e.*").groupBy("no").agg(*sums)
     one = F.lit(1).cast("bigint")
     start = start.select("no", F.lit(0).cast("bigint").alias("turn"), "up", "lost", one.alias("steps"), one.alias("size"), "kids", *(["id", F.array().cast("array<string>").alias("via")] if with_path else []))
     at_work = F.col("up").isNull() | (F.col("up") != F.col("no"))
@@ -145,7 +155,9 @@ def hierarchy(links: DataFrame, with_path: bool = True) -> DataFrame:
         done.append(written(new))
     have = spark.read.schema(layout).parquet(*done).join(base, "no")
     # the root of a circle is the least id on it
-    roots = base.select(F.col("no").alias("root"), F.col("id").alias("root_id")).unionByName(have.filter("on").groupBy(F.col("ring").alias("root")).agg(F.min("id").alias("root_id")).select((-F.col("root") - 1).alias("root"), "root_id"))
+    names = base.select(F.col("no").alias("root"), F.col("id").alias("root_id"))
+    least = have.filter("on").groupBy(F.col("ring").alias("root")).agg(F.min("id").alias("root_id"))
+    roots = names.unionByName(least.select((-F.col("root") - 1).alias("root"), "root_id"))
     state = F.when(F.col("on"), "cycle").when(F.col("ring").isNotNull(), "below_cycle").when(F.col("lost") == 1, "orphan").otherwise("tree")
     rooted = have.withColumn("root", F.coalesce(-F.col("ring") - 1, "root")).join(roots, "root")
     return rooted.select("id", "parent", "root_id", "depth", state.alias("state"), "subtree", *path(F.col("path")))

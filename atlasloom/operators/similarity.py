@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import cut
@@ -102,11 +102,16 @@ def closest_words(rows: DataFrame, queries: DataFrame, least: float = 0.5) -> Da
     back = [[i for i, f in enumerate(fits) if k in f] for k in range(len(other[0]))]
     deal = lambda d, n: F.pmod(F.xxhash64("set", F.lit(d)), F.lit(n)).cast("int")
     kind_of = lambda ranges: F.size(F.filter(F.array(*[F.lit(lo) for lo, _ in ranges]), lambda lo: lo <= F.col("size"))) - 1
-    places = lambda lists, at, n: F.explode(F.flatten(F.transform(F.get(F.array(*[F.array(*map(F.lit, x)).cast("array<int>") for x in lists]), at), lambda c: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.concat_ws("/", c, k)))))
-    q = reps.filter("wanted").withColumn("c", kind_of(one[0])).select("set", "words", F.concat_ws("/", "c", deal(1, one[1])).alias("own"), places(fits, F.col("c"), other[1]).alias("at"))
-    q = q.select("set", "words", F.concat_ws("-", "own", "at").alias("meet"))
-    r = reps.withColumn("c", kind_of(other[0])).select(F.col("set").alias("r_set"), "rep", F.col("words").alias("r_words"), F.concat_ws("/", "c", deal(2, other[1])).alias("own"), places(back, F.col("c"), one[1]).alias("at"))
-    r = r.select("r_set", "rep", "r_words", F.concat_ws("-", "at", "own").alias("r_meet"))
+
+    def places(lists: list[list[int]], n: int) -> Column:
+        """One row for each block of each class that the class ``c`` meets by ``lists``."""
+        met = F.get(F.array(*[F.array(*map(F.lit, x)).cast("array<int>") for x in lists]), F.col("c"))
+        return F.explode(F.flatten(F.transform(met, lambda c: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.concat_ws("/", c, k)))))
+
+    q = reps.filter("wanted").withColumn("c", kind_of(one[0])).withColumn("own", F.concat_ws("/", "c", deal(1, one[1])))
+    q = q.withColumn("at", places(fits, other[1])).select("set", "words", F.concat_ws("-", "own", "at").alias("meet"))
+    r = reps.withColumn("c", kind_of(other[0])).withColumn("own", F.concat_ws("/", "c", deal(2, other[1])))
+    r = r.withColumn("at", places(back, one[1])).select(F.col("set").alias("r_set"), "rep", F.col("words").alias("r_words"), F.concat_ws("-", "at", "own").alias("r_meet"))
 
     def table(words: pd.Series, vocabulary: np.ndarray) -> np.ndarray:
         flat = np.concatenate(list(words)).astype(np.int64)
