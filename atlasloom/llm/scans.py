@@ -192,7 +192,9 @@ def corrections(lexicon: DataFrame, texts: DataFrame, aside: DataFrame) -> DataF
     few = few.unionByName(aside.select("block_id", "at", "word"), allowMissingColumns=True).join(suspects, "word", "left_semi")
     met = cut(few.join(cand, "word", "left"))
     # how usual the word and its candidate are between the neighbours
-    sums = F.array(*[F.struct(_pair(a, b).alias("pair"), F.lit(own).alias("own")) for a, b, own in ((F.col("before"), F.col("right"), False), (F.col("right"), F.col("after"), False), (F.col("before"), F.col("word"), True), (F.col("word"), F.col("after"), True))])
+    col = F.col
+    sides = ((col("before"), col("right"), False), (col("right"), col("after"), False), (col("before"), col("word"), True), (col("word"), col("after"), True))
+    sums = F.array(*[F.struct(_pair(a, b).alias("pair"), F.lit(own).alias("own")) for a, b, own in sides])
     asked = met.filter("right is not null").select("block_id", "at", "right", F.explode(sums).alias("s")).select("block_id", "at", "right", "s.pair", "s.own").filter("pair is not null")
     beside = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1)))
     count = texts.select(F.explode(beside).alias("pair")).groupBy("pair").agg(F.count("*").alias("c"))
@@ -320,7 +322,14 @@ def broken_words(texts: DataFrame, lay: DataFrame, lexicon: DataFrame, furniture
     counts = asked.join(known, "key").groupBy("l", "r").agg(*[F.sum(F.when(F.col("kind") == k, F.col("k")).otherwise(0)).alias(k) for k in ("nj", "nc", "nl", "nr")])
     w = w.join(counts, ["l", "r"], "left").fillna(0, ["nj", "nc", "nl", "nr"])
     soft = F.col("mark").isin("¬", "­")
-    split = F.when(soft, True).when(F.col("r").isin(*HANGING) & (F.col("nl") > 0), False).when(F.col("nj") > F.col("nc"), True).when(F.col("nc") > 0, False).when((F.col("nl") >= 5) & (F.col("nr") >= 5), False).otherwise(True)
+    split = (
+        F.when(soft, True)
+        .when(F.col("r").isin(*HANGING) & (F.col("nl") > 0), False)
+        .when(F.col("nj") > F.col("nc"), True)
+        .when(F.col("nc") > 0, False)
+        .when((F.col("nl") >= 5) & (F.col("nr") >= 5), False)
+        .otherwise(True)
+    )
     return w.select("block_id", "no", "left", "mark", "right", "at_end", split.alias("split"))
 
 
@@ -405,20 +414,24 @@ def paragraphs(df: DataFrame) -> DataFrame:
     broken, misread = a["broken"], a["misread"].filter("right is not null")
     right = misread.select("block_id", (F.col("at") - ASIDE).alias("no"), F.col("right").alias("better"))
     seams = broken.join(right, ["block_id", "no"], "left")
-    none = F.lit(None)
-    kinds = "at int, right string", "left string, mark string, right string, at_end boolean, split boolean, whole string"
-    fix, seam = (none.cast(f"struct<{k.replace(' ', ':')}>".replace(",:", ",")) for k in kinds)
     # all that is to be done to a block comes in one row
-    marks = misread.filter(F.col("at") < ASIDE - 1).select("block_id", F.struct("at", "right").alias("fix"), seam.alias("seam"), none.cast("string").alias("header"), none.cast("string").alias("taken"))
-    marks = marks.unionByName(seams.select("block_id", fix.alias("fix"), F.struct("left", "mark", "right", "at_end", "split", F.coalesce("better", F.concat("left", "right")).alias("whole")).alias("seam"), none.cast("string").alias("header"), none.cast("string").alias("taken")))
-    marks = marks.unionByName(a["headers"].select("block_id", fix.alias("fix"), seam.alias("seam"), F.col("line").alias("header"), none.cast("string").alias("taken")))
+    layout_ = {"fix": "struct<at:int,right:string>", "seam": "struct<left:string,mark:string,right:string,at_end:boolean,split:boolean,whole:string>", "header": "string", "taken": "string"}
+
+    def mark(df: DataFrame, key: str = "block_id", **what: Column) -> DataFrame:
+        return df.select(F.col(key).alias("block_id"), *[what.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in layout_.items()])
+
+    whole_word = F.coalesce("better", F.concat("left", "right")).alias("whole")
+    marks = mark(misread.filter(F.col("at") < ASIDE - 1), fix=F.struct("at", "right"))
+    marks = marks.unionByName(mark(seams, seam=F.struct("left", "mark", "right", "at_end", "split", whole_word)))
+    marks = marks.unionByName(mark(a["headers"], header=F.col("line")))
     # the part of a word that a block gave to the one before it
     follow = Window.partitionBy("job_id", "page_index").orderBy("block_index", "block_id")
     body = a["layout"].join(a["furniture"], "block_id", "left_anti").filter(~F.col("looks_number"))
     first = body.groupBy("job_id", "page_index").agg(F.min_by("block_id", F.struct("block_index", "block_id")).alias("next_page"))
-    after = body.withColumn("next", F.lead("block_id").over(follow)).filter("last_word is not null").join(first.select("job_id", (F.col("page_index") - 1).alias("page_index"), "next_page"), ["job_id", "page_index"], "left")
-    taken = broken.filter("at_end and split and right <> ''").join(after.select("block_id", F.coalesce("next", "next_page").alias("to")), "block_id")
-    marks = marks.unionByName(taken.select(F.col("to").alias("block_id"), fix.alias("fix"), seam.alias("seam"), none.cast("string").alias("header"), F.col("right").alias("taken")))
+    after = body.withColumn("next", F.lead("block_id").over(follow)).filter("last_word is not null")
+    after = after.join(first.select("job_id", (F.col("page_index") - 1).alias("page_index"), "next_page"), ["job_id", "page_index"], "left")
+    after = after.select("block_id", F.coalesce("next", "next_page").alias("to"))
+    marks = marks.unionByName(mark(broken.filter("at_end and split and right <> ''").join(after, "block_id"), "to", taken=F.col("right")))
     per = marks.groupBy("block_id").agg(F.collect_list("fix").alias("fixes"), F.collect_list("seam").alias("seams"), F.max("header").alias("header"), F.max("taken").alias("taken"))
     kept = a["texts"].select("block_id", "job_id", "page_index", "block_index", "text", "alone").join(a["numbers"].select("block_id"), "block_id", "left_anti").join(per, "block_id", "left")
     clean = kept.mapInPandas(_repair, "block_id bigint, job_id string, page_index int, block_index int, clean string, seam boolean, alone boolean")
